@@ -9,6 +9,11 @@ WORD_BPE, BYTE_BPE, RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+#: Categories of the toxicity chain, in its order, over the labels table; and the probability from which a document is rejected.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+TOXIC = 0.5
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,6 +24,12 @@ def _tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.embed_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rasterloom.llm.packing import pack
 
@@ -39,6 +50,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer_file(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = fit(docs, _table(spark, sf_dir, "labels"), CATEGORIES)
+    return score(docs, chain).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC).alias("toxic"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rasterloom.llm.chat import chat_digest, format_chat
 
@@ -49,6 +68,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chat(turns.union(extra)))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rasterloom.llm.url_filter import judge_urls
 
@@ -62,7 +87,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op3_token_counts, op4_byte_bpe, op6_chat, op7_url_filter, op10_secrets)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_token_counts, op4_byte_bpe, op5_toxicity, op6_chat, op7_url_filter, op9_near_duplicates, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -120,47 +120,49 @@ def secret_digest(found: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", *, example_owners: int = 3, example_repositories: int = 5) -> DataFrame:
     """``docs`` with the value of every live-looking secret replaced by ``mark``; no row is dropped.
 
-    Values that the corpus shows to be copied examples stay. Needs one pass for
-    the corpus counts and one for the replacement; only hashes of values that
-    are examples travel back, joined by value, and only for documents with a
-    candidate. Columns and rows are those of ``docs``; n_chars is the new length.
+    Values that the corpus shows to be copied examples stay. Only documents with
+    a candidate are written and joined; the others pass by. Columns and rows
+    are those of ``docs``; n_chars, where there is one, is the new length.
     """
-    cols = docs.columns
-    kept = written(with_row_id(docs), "unredacted")
-    seen = kept.select("rid", "doc_id", "text", "source", "lang").mapInArrow(_scan_rid, "rid long, owner string, lang string, h binary, s long, e long")
-    seen = written(seen, "candidates")
-    held = seen.groupBy("h", "owner", "lang").agg(F.count("*").alias("n")).groupBy("h", "owner").agg(F.count("*").alias("repos")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = seen.join(held.where((F.col("owners") < example_owners) & (F.col("repos") < example_repositories)), "h")
-    cuts = live.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("cuts"))
-    out = kept.join(cuts, "rid", "left")
-    # Text between the cuts, code points from 0; overlapping cuts join first.
-    merged = F.expr(
-        "aggregate(cuts, cast(array() AS array<struct<s: bigint, e: bigint>>), (a, x) ->"
-        " CASE WHEN size(a) > 0 AND x.s < a[size(a) - 1].e"
-        " THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', a[size(a) - 1].s, 'e', greatest(a[size(a) - 1].e, x.e))))"
-        " ELSE concat(a, array(x)) END)"
-    )
-    out = out.withColumn("cuts", merged)
-    cut = F.expr(
-        f"concat(array_join(transform(cuts, (x, i) -> concat(substring(text, cast(if(i = 0, 0, cuts[i - 1].e) + 1 AS int),"
-        f" cast(x.s - if(i = 0, 0, cuts[i - 1].e) AS int)), '{mark}')), ''), substring(text, cast(cuts[size(cuts) - 1].e + 1 AS int), length(text)))"
-    )
-    out = out.withColumn("text", F.when(F.col("cuts").isNotNull(), cut).otherwise(F.col("text")))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("cuts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
-
-
-_CAND = pa.schema([("rid", pa.int64()), ("owner", pa.string()), ("lang", pa.string()), ("h", pa.binary()), ("s", pa.int64()), ("e", pa.int64())])
-
-
-def _scan_rid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rids = b.column("rid").to_pylist()
-        for k, s in enumerate(_scan([b])):
-            rows = [
-                {"rid": r, "owner": x["source"] or "", "lang": x["lang"] or "", **c}
-                for r, x in zip(rids, s.to_pylist(), strict=True)
-                for c in x["cands"]
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_CAND)
+    cols, schema = docs.columns, docs.schema
+
+    def split(holding: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column("text").to_pylist()
+                has = [bool(t) and bool(base_spans(t) or extra_candidates(t)) for t in texts]
+                out = b.filter(pa.array([h == holding for h in has]))
+                if out.num_rows:
+                    yield out
+
+        return run
+
+    held = written(with_row_id(docs.mapInArrow(split(True), schema), "__rid"), "holders")
+    scan = held.select(F.col("__rid").alias("doc_id"), "text", "source", "lang").mapInArrow(_scan, _SCAN_DDL)
+    cand = scan.select(F.col("doc_id").alias("__rid"), F.coalesce("source", F.lit("")).alias("owner"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode("cands").alias("c")).select("__rid", "owner", "lang", "c.h", "c.s", "c.e")
+    per = cand.groupBy("h", "owner", "lang").agg(F.count("*").alias("n")).groupBy("h", "owner").agg(F.count("*").alias("repos"))
+    per = per.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    live = cand.join(per.where((F.col("owners") < example_owners) & (F.col("repos") < example_repositories)), "h")
+    cuts = live.groupBy("__rid").agg(F.collect_set(F.struct("s", "e")).alias("__cuts"))
+    at = cols.index("text")
+    n_at = cols.index("n_chars") if "n_chars" in cols else None
+
+    def cut(text: str, spans: list) -> str:
+        out, done = [], 0
+        for s, e in sorted((x["s"], x["e"]) for x in spans):
+            if s >= done:
+                out += [text[done:s], mark]
+            done = max(done, e)
+        return "".join([*out, text[done:]])
+
+    def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [cut(t, c) if c else t for t, c in zip(b.column("text").to_pylist(), b.column("__cuts").to_pylist(), strict=True)]
+            columns = b.columns[: len(cols)]
+            columns[at] = pa.array(texts, columns[at].type)
+            if n_at is not None:
+                columns[n_at] = pa.array([len(t) if c else n for t, c, n in zip(texts, b.column("__cuts").to_pylist(), columns[n_at].to_pylist(), strict=True)], columns[n_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=cols)
+
+    changed = held.join(cuts, "__rid", "left").select(*cols, "__cuts").mapInArrow(redact, schema)
+    return docs.mapInArrow(split(False), schema).union(changed)
