@@ -68,6 +68,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chat(turns.union(extra)))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rasterloom.llm.near_dedup import near_duplicates
 
@@ -87,7 +93,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_token_counts, op4_byte_bpe, op5_toxicity, op6_chat, op7_url_filter, op9_near_duplicates, op10_secrets)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_token_counts, op4_byte_bpe, op5_toxicity, op6_chat, op7_url_filter, op8_neighbours, op9_near_duplicates, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
