@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import Generations, components, with_row_id, written
+from rasterloom.llm.shared import Generations, components, fresh, with_row_id, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int =
     of at most ``block`` texts are compared in one task each, larger ones block
     against block in many tasks; tasks return spanning links, never pairs.
     """
-    base = docs.select("doc_id", "text").withColumn("k", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     sketch = base.mapInArrow(lambda it: _sketch(it, bands, rows), "doc_id long, k binary, h binary, bands array<long>")
     sketch = written(with_row_id(sketch), "sketch")
     first = sketch.where("h IS NOT NULL").groupBy("h").agg(F.min("rid").alias("rep"))
@@ -270,12 +270,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     here; of such groups the kept number is what counts, so one row stays.
     """
     found = written(near_duplicates(docs, **options), "classes")
-    same = ["doc_id", "k"]
-    per = found.groupBy(*same).agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    out = per.where("NOT kept OR n > 1").select(F.col("doc_id").alias("d"), F.col("k").alias("kk"), "kept")
+    per = found.groupBy("doc_id", "k").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    d, kk, n, kept, key = fresh(docs, "__d", "__kk", "__n", "__kept", "__key")
+    per = per.where("NOT kept OR n > 1").select(F.col("doc_id").alias(d), F.col("k").alias(kk), F.col("kept").alias(kept))
     cols = docs.columns
-    keyed = docs.withColumn("__k", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    on = (F.col("__k") == F.col("kk")) & keyed.doc_id.eqNullSafe(F.col("d"))
-    single = keyed.join(out, on, "left_anti").select(*cols)
-    twice = keyed.join(out.where("kept"), on, "left_semi").dropDuplicates(["doc_id", "__k"]).select(*cols)
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    on = (F.col(key) == F.col(kk)) & F.col("doc_id").eqNullSafe(F.col(d))
+    single = keyed.join(per, on, "left_anti").select(*cols)
+    twice = keyed.join(per.where(F.col(kept)), on, "left_semi").dropDuplicates(["doc_id", key]).select(*cols)
     return single.union(twice)

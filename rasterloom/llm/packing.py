@@ -28,7 +28,7 @@ from rasterloom.llm.shared import Generations, written
 CAPACITY = 2048
 #: Pieces that one task packs at a time.
 PER_TASK = 50_000
-ROUNDS = 4
+ROUNDS = 6
 _PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
@@ -185,7 +185,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, per_task: int =
             # Certified partitions keep all bins; others give up the emptiest ones, several for each bin of the gap.
             freed = np.zeros(n_bins, dtype=bool)
             if gap > 0 and not last:
-                loose = np.argsort(fill, kind="stable")[: max(64, 16 * gap)]
+                loose = np.argsort(fill, kind="stable")[: 8 * gap]
                 freed[loose[fill[loose] < capacity]] = True
             order = np.argsort(bins, kind="stable")
             before = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])

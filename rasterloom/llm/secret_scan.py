@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import with_row_id, written
+from rasterloom.llm.shared import fresh, with_row_id, written
 
 KINDS = ("assign", "access", "hex", "live", "example")
 _WORDS = ("passw", "secret", "token", "api")
@@ -125,6 +125,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", *, example_owners: i
     are those of ``docs``; n_chars, where there is one, is the new length.
     """
     cols, schema = docs.columns, docs.schema
+    rid, cuts_ = fresh(docs, "__rid", "__cuts")
 
     def split(holding: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +138,13 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", *, example_owners: i
 
         return run
 
-    held = written(with_row_id(docs.mapInArrow(split(True), schema), "__rid"), "holders")
-    scan = held.select(F.col("__rid").alias("doc_id"), "text", "source", "lang").mapInArrow(_scan, _SCAN_DDL)
-    cand = scan.select(F.col("doc_id").alias("__rid"), F.coalesce("source", F.lit("")).alias("owner"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode("cands").alias("c")).select("__rid", "owner", "lang", "c.h", "c.s", "c.e")
+    held = written(with_row_id(docs.mapInArrow(split(True), schema), rid), "holders")
+    scan = held.select(F.col(rid).alias("doc_id"), "text", "source", "lang").mapInArrow(_scan, _SCAN_DDL)
+    cand = scan.select(F.col("doc_id").alias(rid), F.coalesce("source", F.lit("")).alias("owner"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode("cands").alias("c")).select(rid, "owner", "lang", "c.h", "c.s", "c.e")
     per = cand.groupBy("h", "owner", "lang").agg(F.count("*").alias("n")).groupBy("h", "owner").agg(F.count("*").alias("repos"))
     per = per.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     live = cand.join(per.where((F.col("owners") < example_owners) & (F.col("repos") < example_repositories)), "h")
-    cuts = live.groupBy("__rid").agg(F.collect_set(F.struct("s", "e")).alias("__cuts"))
+    cuts = live.groupBy(rid).agg(F.collect_set(F.struct("s", "e")).alias(cuts_))
     at = cols.index("text")
     n_at = cols.index("n_chars") if "n_chars" in cols else None
 
@@ -157,12 +158,12 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", *, example_owners: i
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [cut(t, c) if c else t for t, c in zip(b.column("text").to_pylist(), b.column("__cuts").to_pylist(), strict=True)]
+            texts = [cut(t, c) if c else t for t, c in zip(b.column("text").to_pylist(), b.column(cuts_).to_pylist(), strict=True)]
             columns = b.columns[: len(cols)]
             columns[at] = pa.array(texts, columns[at].type)
             if n_at is not None:
-                columns[n_at] = pa.array([len(t) if c else n for t, c, n in zip(texts, b.column("__cuts").to_pylist(), columns[n_at].to_pylist(), strict=True)], columns[n_at].type)
+                columns[n_at] = pa.array([len(t) if c else n for t, c, n in zip(texts, b.column(cuts_).to_pylist(), columns[n_at].to_pylist(), strict=True)], columns[n_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=cols)
 
-    changed = held.join(cuts, "__rid", "left").select(*cols, "__cuts").mapInArrow(redact, schema)
+    changed = held.join(cuts, rid, "left").select(*cols, cuts_).mapInArrow(redact, schema)
     return docs.mapInArrow(split(False), schema).union(changed)

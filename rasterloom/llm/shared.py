@@ -37,6 +37,17 @@ def with_row_id(df: DataFrame, column: str = "rid") -> DataFrame:
     return df.withColumn(column, F.monotonically_increasing_id())
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added until no column of ``df`` is called so (in any letter case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Generations(dict):
     """A bounded cache: a full young generation replaces the old one.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import Generations, written
+from rasterloom.llm.shared import Generations, fresh, written
 
 #: Labelled documents to fit on at most, features to keep at most, hash space, folds.
 SAMPLE, FEATURES, SPACE, FOLDS = 20_000, 2_048, 1 << 18, 5
@@ -75,6 +75,7 @@ def _fit_one(col: np.ndarray, row: np.ndarray, m: int, extra: np.ndarray, y: np.
     rate = (y.sum() + 1) / (n + 2)
     w[-1] = np.log(rate / (1 - rate))
     if n == 0 or y.min() == y.max():
+        w[-1] = -5.0  # nothing to tell apart
         return w
     past = np.full(m + k + 1, 1e-8)
     for _ in range(steps):
@@ -168,12 +169,9 @@ def score(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
 
     Null and empty texts have no features and get the chain's base rates; rows
     are never dropped or joined, so repeated rows and null ids stay as they are;
-    other columns pass through (a clash with a new name raises at planning).
+    other columns pass through; a new name that is taken gets underscores.
     """
-    new = [f"{prefix}{c}" for c in chain.categories]
-    clash = set(new) & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already; choose another prefix")
+    new = fresh(docs, *(f"{prefix}{c}" for c in chain.categories))
     place = {int(f): k for k, f in enumerate(chain.features)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
