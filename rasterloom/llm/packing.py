@@ -5,7 +5,8 @@ sequences by themselves. The others are packed by best-fit decreasing in
 partitions of bounded size; lower bounds from dual feasible functions certify a
 partition whose bin count they reach. Partitions with a gap give up their bins
 that have room, the documents of these are dealt out anew, and best-fit
-decreasing runs again, for a few rounds or until no gap is left.
+decreasing runs again, for a few rounds or until no gap is left; an exchange
+that saves no bin is not taken.
 """
 
 from __future__ import annotations
@@ -200,16 +201,20 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, per_task: int =
     full = pieces.where(F.col("length") == capacity).mapInArrow(alone, out_ddl)
     done, rest = [full], pieces.where(F.col("length") < capacity)
     n = rest.count()
+    held, n_held = None, 0  # what was given up, as it was packed before
     for turn in range(rounds):
         if not n:
             break
-        last = turn == rounds - 1
         # Round robin over written rows: equal rows spread as well, and a retried task gets the same rows.
         dealt = rest.repartition(max(1, -(-n // per_task)))
-        packed = written(dealt.mapInArrow(packer(turn, last), out_ddl), f"packed{turn}")
+        packed = written(dealt.mapInArrow(packer(turn, turn == rounds - 1), out_ddl), f"packed{turn}")
+        bins, n = packed.agg(F.countDistinct("sequence_id"), F.count_if("open")).first()
+        if held is not None and bins >= n_held:
+            done.append(held)  # the exchange gained nothing
+            break
         done.append(packed.where("NOT open"))
-        rest = packed.where("open").select(*columns)
-        n = 0 if last else rest.count()
+        held = packed.where("open")
+        rest, n_held = held.select(*columns), held.select("sequence_id").distinct().count() if n else 0
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

@@ -89,15 +89,13 @@ def test_packing_empty(none):
     assert packing.pack(none, WORD).collect() == []
 
 
-def test_packing_exchanges_between_partitions(spark, word):
-    docs = [(k, words(20 + k * 37 % 900, k)) for k in range(300)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = expected_pieces(docs, word)
-    n = check_packing(packing.pack(df, WORD, per_task=60).collect(), want)
-    apart = check_packing(packing.pack(df, WORD, per_task=60, rounds=1).collect(), want)
-    together = check_packing(packing.pack(df, WORD).collect(), want)
-    bound = packing.lower_bound(np.array([p[3] for p in want]), 2048)
-    assert bound <= together <= bound + 2 and together <= n < apart
+def test_packing_exchanges_between_partitions(spark):
+    lengths = np.random.default_rng(3).integers(1, 2048, 3000)
+    df = spark.createDataFrame([(k, 0, 0, int(n), 0) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    want = [(k, 0, 0, int(n), 0) for k, n in enumerate(lengths)]
+    exchanged, apart, together = (check_packing(packing.pack_pieces(df, per_task=p, rounds=r).collect(), want) for p, r in ((500, 6), (500, 1), (3000, 1)))
+    bound = packing.lower_bound(lengths, 2048)
+    assert bound <= together <= bound + 10 and together <= exchanged < apart
 
 
 def test_lower_bound_holds_and_bites():
