@@ -13,16 +13,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import Generations, with_row_id, written
+from rasterloom.llm.shared import with_row_id, written
 
 #: Pre-tokens in the head; about 20 bytes each.
 HEAD = 131_072
 _BLANK = re.compile(r"\s ")
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 @lru_cache(maxsize=4)
@@ -43,42 +45,44 @@ def _splitter(path: str):
     return re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
 
 
-@lru_cache(maxsize=4)
-def _pretokens(path: str) -> Generations:
-    """Chunk to its pre-tokens, by the library's own pre-tokeniser."""
-    pre = _tokenizer(path).pre_tokenizer
-
-    def make(chunk: str) -> tuple[str, ...]:
-        return tuple(chunk[a:b] for _, (a, b) in pre.pre_tokenize_str(chunk))
-
-    return Generations(make, 200_000)
-
-
-def pretoken_counts(text: str, path: str) -> Counter:
-    """Frequencies of the pre-tokens of ``text``; special strings count as pre-tokens of their own.
+def chunks_of(text: str, path: str) -> list[str]:
+    """``text`` in parts that pre-tokenise apart; special strings are parts of their own.
 
     The text is cut before a space that follows a character other than white
     space. There a pre-token always begins and none before looks further, so the
     parts pre-tokenise as the whole would.
     """
-    out: Counter = Counter()
     split = _splitter(path)
     pieces = split.split(text) if split and any(s in text for s in _specials(path)) else [text]
-    cache, special = _pretokens(path), set(_specials(path))
+    out: list[str] = []
     for piece in pieces:
-        if piece in special:
-            out[piece] += 1
-            continue
         if not piece:
             continue
         if _BLANK.search(piece) or piece[0] == " ":
-            chunks = re.split(r"(?<=\S)(?= )", piece)
+            out += re.split(r"(?<=\S)(?= )", piece)
         else:
             first, *rest = piece.split(" ")
-            chunks = [first, *[" " + x for x in rest]]
-        for chunk, n in Counter(chunks).items():
-            for p in cache[chunk]:
-                out[p] += n
+            out.append(first)
+            out += [" " + x for x in rest]
+    return out
+
+
+def pretokens_of(chunk: str, path: str) -> tuple[str, ...]:
+    """The pre-tokens of a part, by the library's own pre-tokeniser; plain Latin words with a mark are cut here."""
+    m = _PLAIN.fullmatch(chunk)
+    if m:
+        return m.groups() if m[2] else (m[1],)
+    if chunk in _specials(path):
+        return (chunk,)
+    return tuple(chunk[a:b] for _, (a, b) in _tokenizer(path).pre_tokenizer.pre_tokenize_str(chunk))
+
+
+def pretoken_counts(text: str, path: str) -> Counter:
+    """Frequencies of the pre-tokens of ``text``; special strings count as pre-tokens of their own."""
+    out: Counter = Counter()
+    for chunk, n in Counter(chunks_of(text, path)).items():
+        for p in pretokens_of(chunk, path):
+            out[p] += n
     return out
 
 
@@ -96,14 +100,22 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, head: int = HE
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out: Counter = Counter()
+            for chunk, n in total.items():
+                for p in pretokens_of(chunk, path):
+                    out[p] += n
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["pretoken", "n"])
+
         for b in batches:
             for t in b.column("text").to_pylist():
                 if t:
-                    total.update(pretoken_counts(t, path))
+                    total.update(chunks_of(t, path))
             if len(total) > 400_000:
-                yield _counter(total)
-                total = Counter()
-        yield _counter(total)
+                yield flush()
+        yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,18 +138,29 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, head: int = HE
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+
+        table: dict[str, int] = {}  # parts whose pre-tokens are all in the head; bounded
+
         for b in batches:
             ids, sums, p_id, p_tok, p_n, n_bytes = [], [], [], [], [], []
             for r, t in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
-                total, t = 0, t or ""
-                for p, n in pretoken_counts(t, path).items():
-                    k = known.get(p)
-                    if k is None:
-                        p_id.append(r)
-                        p_tok.append(p)
-                        p_n.append(n)
-                    else:
-                        total += k * n
+                t = t or ""
+                chunks = chunks_of(t, path)
+                sizes = list(map(table.get, chunks, repeat(0)))
+                total = sum(sizes)
+                for chunk, n in Counter([c for c, k in zip(chunks, sizes, strict=True) if not k]).items():
+                    tokens = pretokens_of(chunk, path)
+                    counts = [known.get(p, 0) for p in tokens]
+                    total += sum(counts) * n
+                    if all(counts):
+                        if len(table) < 3 * head:
+                            table[chunk] = sum(counts)
+                        continue
+                    for p, k in zip(tokens, counts, strict=True):
+                        if not k:
+                            p_id.append(r)
+                            p_tok.append(p)
+                            p_n.append(n)
                 ids.append(r)
                 sums.append(total)
                 n_bytes.append(len(t.encode("utf-8", "surrogatepass")))
@@ -157,6 +180,3 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, head: int = HE
     n_tokens = F.col("n") + F.coalesce("rare", F.lit(0))
     return out.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
 
-
-def _counter(c: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["pretoken", "n"])
