@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.shared import written
+
 #: Words in a host that make its pages bad examples for the labelled purity.
 SEED_TERMS = ("casino", "malware", "pills", "porn", "spam", "warez")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,6 +92,7 @@ def judge_urls(
     # One pre-aggregated table of raw branches carries all that the tree needs.
     keys = ["host", *(f"s{k}" for k in range(depth))]
     raw = p.groupBy(*keys).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    raw = written(raw, "branches")
     tree = raw
     parent = ["host"]
     for k in range(depth):
@@ -102,7 +105,7 @@ def judge_urls(
         apart = (F.col("ll") > 0) & (rest_l > 0) & (F.abs(F.col("lb") / F.col("ll") - rest_b / rest_l) >= z * err)
         keep = F.col(f"s{k}").isin("", "*") | ((F.col("ln") >= min_literal) & apart)
         named = both.select(*parent, f"s{k}", F.when(keep, F.col(f"s{k}")).otherwise("*").alias(f"t{k}"))
-        tree = tree.join(named, [*parent, f"s{k}"])
+        tree = written(tree.join(named, [*parent, f"s{k}"]), "tree")  # else each level would plan all before it three times
         parent = [*parent, f"t{k}"]
     template = F.concat(F.col("host"), *(F.concat(F.when(F.col(f"t{k}") == "", "").otherwise("/"), F.col(f"t{k}")) for k in range(depth)))
     tree = tree.withColumn("template", template)
