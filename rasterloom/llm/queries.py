@@ -9,9 +9,8 @@ WORD_BPE, BYTE_BPE, RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
-#: Categories of the toxicity chain, in its order, over the labels table; and the probability from which a document is rejected.
+#: Categories of the toxicity chain, in its order, over the labels table.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
-TOXIC = 0.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +54,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = fit(docs, _table(spark, sf_dir, "labels"), CATEGORIES)
-    return score(docs, chain).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC).alias("toxic"))
+    return score(docs, chain).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= chain.threshold).alias("toxic"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,11 +51,12 @@ def document_features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Chain:
-    """Kept features (sorted) and, per category, weights: features, earlier probabilities, bias."""
+    """Kept features (sorted); per category weights: features, earlier probabilities, bias; the last one's threshold."""
 
     categories: list[str]
     features: np.ndarray
     weights: list[np.ndarray]
+    threshold: float = 0.5
 
     def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """One row per document; ``columns`` are positions in ``features``."""
@@ -68,7 +69,7 @@ class Chain:
         return out
 
 
-def _fit_one(col: np.ndarray, row: np.ndarray, m: int, extra: np.ndarray, y: np.ndarray, steps: int = 60, l2: float = 1e-3) -> np.ndarray:
+def _fit_one(col: np.ndarray, row: np.ndarray, m: int, extra: np.ndarray, y: np.ndarray, steps: int = 150, l2: float = 1e-4) -> np.ndarray:
     """Logistic regression over sparse 0/1 columns and dense ``extra``; the bias last. AdaGrad over the whole sample."""
     n, k = len(y), extra.shape[1]
     w = np.zeros(m + k + 1)
@@ -99,17 +100,31 @@ def fit_chain(columns: list[np.ndarray], labels: np.ndarray, categories: list[st
     for c in range(len(categories)):
         y = labels[:, c].astype(float) if n else np.zeros(0)
         p = np.zeros(n)
-        if c < len(categories) - 1:  # the last one's are not needed
-            for f in range(folds):
-                inside = fold != f
-                at = np.cumsum(inside) - 1
-                e = inside[row]
-                w = _fit_one(col[e], at[row[e]], m, oof[inside], y[inside])
-                z = np.bincount(row, weights=w[col], minlength=n) + oof @ w[m:-1] + w[-1]
-                p[~inside] = (1 / (1 + np.exp(-np.clip(z, -30, 30))))[~inside]
+        for f in range(folds):
+            inside = fold != f
+            at = np.cumsum(inside) - 1
+            e = inside[row]
+            w = _fit_one(col[e], at[row[e]], m, oof[inside], y[inside])
+            z = np.bincount(row, weights=w[col], minlength=n) + oof @ w[m:-1] + w[-1]
+            p[~inside] = (1 / (1 + np.exp(-np.clip(z, -30, 30))))[~inside]
         weights.append(_fit_one(col, row, m, oof, y))
         oof = np.column_stack([oof, p])
-    return Chain(categories, features, weights)
+    return Chain(categories, features, weights, best_threshold(oof[:, -1], labels[:, -1].astype(bool)) if n else 0.5)
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Where out-of-fold probabilities part best (largest F1), halfway in log-odds across the gap; at most 0.5."""
+    order = np.argsort(-p, kind="stable")
+    hit = np.cumsum(y[order])
+    if not len(p) or not hit[-1] or hit[-1] == len(p):
+        return 0.5
+    f1 = 2 * hit / (np.arange(1, len(p) + 1) + hit[-1])
+    f1[:-1][p[order][:-1] == p[order][1:]] = 0  # ties stay together
+    k = int(f1.argmax())
+    low, high = p[order[min(k + 1, len(p) - 1)]], p[order[k]]
+    odds = lambda q: np.log(q / (1 - q))
+    middle = (odds(np.clip(low, 1e-9, 1 - 1e-9)) + odds(np.clip(high, 1e-9, 1 - 1e-9))) / 2
+    return float(min(0.5, 1 / (1 + np.exp(-middle))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, sample: int = SAMPLE, n_features: int = FEATURES, least_docs: int = 5) -> Chain:

@@ -110,7 +110,7 @@ def test_toxicity_held_out(spark):
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     chain = toxicity.fit(d, lab, queries.CATEGORIES)
     assert chain.categories == ["low_quality", "toxic"] and len(chain.weights[1]) == len(chain.features) + 2
-    got = {r["doc_id"]: r["p_toxic"] >= queries.TOXIC for r in toxicity.score(d, chain).where("doc_id >= 400").collect()}
+    got = {r["doc_id"]: r["p_toxic"] >= chain.threshold for r in toxicity.score(d, chain).where("doc_id >= 400").collect()}
     assert np.mean([got[k] == (k % 5 == 0) for k in got]) >= 0.99
 
 
@@ -121,7 +121,7 @@ def test_toxicity_odd_documents(spark, odd, none):
     assert out.columns[-1] == "__p_toxic_" and out.count() == len(odd_documents())
     empty = toxicity.fit(none, lab.limit(0), queries.CATEGORIES)
     assert toxicity.score(none, empty).collect() == []
-    assert all(r["p_toxic"] < queries.TOXIC for r in toxicity.score(odd, empty).collect())
+    assert all(r["p_toxic"] < empty.threshold for r in toxicity.score(odd, empty).collect())
 
 
 BASE = {
