@@ -13,7 +13,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain rejects go; it is fitted on the labelled ones among ``docs``."""
     chain = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), queries.CATEGORIES)
     scored = toxicity.score(docs, chain, prefix="__p_")
-    return scored.where(F.col(scored.columns[-1]) < queries.TOXIC).select(*docs.columns)
+    return scored.where(F.col(scored.columns[-1]) < chain.threshold).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
