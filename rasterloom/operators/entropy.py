@@ -1,4 +1,4 @@
-"""Entropy coding: an rANS coder over 12-bit intervals, and a carry-less range coder over adaptive counts.
+"""Entropy coding: an rANS coder over 12-bit intervals, and a range coder over adaptive counts.
 
 Both work on Python integers of unbounded size masked to their state, in
 grouped Arrow functions: the JVM's signed arithmetic has no part in it.
@@ -103,51 +103,51 @@ class SymbolReader:
 
 
 class RangeEncoder:
-    """Carry-less byte-wise range coder (64-bit low, 32-bit range), for counts with any total to 65536."""
+    """Byte-wise range coder with carries, for counts with any total to 65536."""
 
-    TOP, BOTTOM, LOW = 1 << 24, 1 << 16, (1 << 64) - 1
+    LEAST = 1 << 24
 
     def __init__(self):
         self.low, self.range, self.out = 0, 0xFFFFFFFF, bytearray()
 
     def put(self, start: int, freq: int, total: int) -> None:
         self.range //= total
-        self.low = self.low + start * self.range & self.LOW
+        self.low += start * self.range
         self.range *= freq
-        self._shift()
-
-    def _shift(self) -> None:
-        while True:
-            if (self.low ^ self.low + self.range) & self.LOW >= self.TOP << 32:
-                if self.range >= self.BOTTOM:
-                    return
-                self.range = -self.low & self.BOTTOM - 1 or self.BOTTOM
-            self.out.append(self.low >> 56)
-            self.low = self.low << 8 & self.LOW
-            self.range = min(self.range << 8, 0xFFFFFFFF)
+        if self.low >> 32:  # a carry into bytes that are out already
+            self.low &= 0xFFFFFFFF
+            at = len(self.out) - 1
+            while self.out[at] == 255:
+                self.out[at] = 0
+                at -= 1
+            self.out[at] += 1
+        while self.range < self.LEAST:
+            self.out.append(self.low >> 24)
+            self.low = self.low << 8 & 0xFFFFFFFF
+            self.range <<= 8
 
     def done(self) -> bytes:
-        return bytes(self.out) + self.low.to_bytes(8, "big")
+        return bytes(self.out) + self.low.to_bytes(4, "big")
 
 
-class RangeDecoder(RangeEncoder):
+class RangeDecoder:
     def __init__(self, data: bytes):
-        super().__init__()
-        self.data, self.at = data, 8
-        self.code = int.from_bytes(data[:8], "big")
+        self.data, self.at, self.range = data, 4, 0xFFFFFFFF
+        self.code = int.from_bytes(data[:4], "big")
 
     def point(self, total: int) -> int:
         self.range //= total
-        return min((self.code - self.low & self.LOW) // self.range, total - 1)
+        return min(self.code // self.range, total - 1)
 
     def take(self, start: int, freq: int) -> None:
-        self.low = self.low + start * self.range & self.LOW
+        self.code -= start * self.range
         self.range *= freq
-        before = len(self.out)
-        self._shift()
-        for _ in range(len(self.out) - before):
-            self.code = (self.code << 8 | (self.data[self.at] if self.at < len(self.data) else 0)) & self.LOW
+        while self.range < RangeEncoder.LEAST:
+            if self.at >= len(self.data) + 4:
+                raise ValueError("range coder input is exhausted")
+            self.code = self.code << 8 | (self.data[self.at] if self.at < len(self.data) else 0)
             self.at += 1
+            self.range <<= 8
 
 
 class Counts:
