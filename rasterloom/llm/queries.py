@@ -96,4 +96,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from rasterloom.llm import oracles
+    from rasterloom.llm.url_filter import SEED_TERMS
+
+    return {
+        "op1_embedding_dedup": oracles.EMBEDDING_DEDUP,
+        "op6_chat": oracles.CHAT,
+        "op7_url_filter": oracles.urls(RULES, SEED_TERMS),
+        "op8_neighbours": oracles.NEIGHBOURS,
+    }
