@@ -198,7 +198,7 @@ def a42_a43_region_bounds(spark, sf_dir):
 # Statistics
 
 _CTX = (
-    f"seqs AS (SELECT frame_id, (y * {W} + x) * 3 + c AS seq, c AS channel, CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS sym FROM frames, (VALUES (0), (1), (2)) t(c))",
+    f"seqs AS (SELECT frame_id, CAST((y * {W} + x) * 3 + c AS BIGINT) AS seq, c AS channel, CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS sym FROM frames, (VALUES (0), (1), (2)) t(c))",
     "ctxs AS (SELECT frame_id, seq, channel, CAST((coalesce(lag(sym, 2) OVER w, 0) // 4) * 64 + coalesce(lag(sym, 1) OVER w, 0) // 4 AS INT) AS ctx, sym FROM seqs WINDOW w AS (PARTITION BY frame_id ORDER BY seq))",
     "hist AS (SELECT channel, ctx, sym, count(*) AS cnt FROM ctxs GROUP BY channel, ctx, sym)",
 )
@@ -419,6 +419,19 @@ def a120_a125_entropy_blocks(spark, sf_dir):
     return entropy.entropy_blocks(iv.select("frame_id", "seq", "start", "freq")).select("frame_id", "block", "n", F.length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"))
 
 
+@query("SELECT event_type, count(*) AS n, true AS same FROM events GROUP BY event_type")
+def a127_range_coder(spark, sf_dir):
+    """The events' numbers per type through the range coder and back, with counts that adapt (A45)."""
+    import pyarrow as pa
+
+    def both(key: tuple, t: pa.Table) -> pa.Table:
+        syms = t.sort_by("event_id").column("k").to_pylist()
+        back = entropy.range_decode(entropy.range_encode(syms, 100, 400), len(syms), 100, 400)
+        return pa.table({"event_type": [key[0].as_py()], "n": [len(syms)], "same": [back == syms]})
+
+    return _events_k(spark, sf_dir).groupBy("event_type").applyInArrow(both, "event_type string, n long, same boolean")
+
+
 _KEYS = (
     f"f AS (SELECT event_id, event_type = 'error' AS flat FROM events), s AS (SELECT min(event_id) FILTER (WHERE NOT flat) AS f0 FROM f), m AS (SELECT f.*, s.f0, max(CASE WHEN flat THEN event_id END) OVER (ORDER BY event_id) AS fat FROM f, s),"
     f" k AS (SELECT event_id, flat, (event_id - CASE WHEN fat > f0 OR f0 IS NULL OR event_id < f0 THEN fat ELSE f0 END) % {INTERVAL} AS d FROM m)"

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rasterloom.plans import catalog
+from rasterloom.plans import catalog, relational  # noqa: F401
 
 
 @pytest.fixture(scope="module")
