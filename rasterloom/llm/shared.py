@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-"))
+        own = tempfile.mkdtemp(prefix="rasterloom-")
+        atexit.register(shutil.rmtree, own, True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir().rstrip("/")
 
 
