@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,7 +70,10 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, late: str = "1 hour",
 def drain(stream: DataFrame, name: str = "stream") -> DataFrame:
     """Run ``stream`` over what there is, into Parquet in the shared folder, and read that."""
     spark: SparkSession = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="rasterloom-")
+        atexit.register(shutil.rmtree, base, True)
     out, at = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", f"{base.rstrip('/')}/{name}-state-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
