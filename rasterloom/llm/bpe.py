@@ -50,6 +50,11 @@ def encode_ids(text: str, path: str, pattern: str) -> bytes:
     return np.array(enc.encode_ordinary(text), dtype="<u4").tobytes()
 
 
+def narrow(path: str, pattern: str) -> str:
+    """Integer type in which ids travel: two bytes where all fit."""
+    return "<u2" if max(_encoding(path, pattern)[1]) < 1 << 16 else "<u4"
+
+
 def decode_bytes(ids: bytes, path: str, pattern: str) -> bytes:
     """The raw bytes that ``ids`` stand for."""
     _, table = _encoding(path, pattern)
@@ -113,16 +118,18 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, chunk: int = C
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ids = [np.frombuffer(encode_ids(t, path, pattern), "<u4").astype(kind).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("rid"), b.column("piece"), pa.array([encode_ids(t, path, pattern) for t in b.column("text").to_pylist()], pa.binary())],
+                [b.column("rid"), b.column("piece"), pa.array(ids, pa.binary())],
                 names=["rid", "piece", "ids"],
             )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [_finish(b"".join(p), path, pattern) for p in b.column("ids").to_pylist()]
+            done = [_finish(np.frombuffer(b"".join(p), kind).astype("<u4").tobytes(), path, pattern) for p in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pylist([{"rid": r, "doc_id": None, **d} for r, d in zip(b.column("rid").to_pylist(), done, strict=True)], schema=pa.schema(list(_SHORT)[:5]))
 
+    kind = narrow(path, pattern)
     base = with_row_id(docs.select("doc_id", "text"))
     first = written(base.mapInArrow(read, _SHORT_DDL), "bpe")
     short = first.where("chunk IS NULL").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
