@@ -51,7 +51,7 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 def _word_hashes() -> Generations:
     import xxhash
 
-    return Generations(lambda w: xxhash.xxh3_64_intdigest((w.strip(_PUNCTUATION) or w).encode("utf-8", "surrogatepass")))
+    return Generations(lambda w: xxhash.xxh3_64_intdigest((w.strip(_PUNCTUATION) or w).encode("utf-8", "surrogatepass")), 120_000)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -154,11 +154,12 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(hs, pa.binary()), lists], schema=_SKETCH)
 
 
-def links_in_block(sets: list[tuple[np.ndarray, np.ndarray]], least: float) -> list[tuple[int, int]]:
-    """Links that connect whatever pairs of weighted Jaccard >= ``least`` connect, one fewer than each component has members.
+def links_in_block(sets: list[tuple[np.ndarray, np.ndarray]], least: float, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect whatever pairs of weighted Jaccard >= ``least`` connect, one for each join of two parts.
 
     A found document is compared with those not yet found only, so a block of
     near copies of one text takes few comparisons; nothing is skipped otherwise.
+    Documents of equal ``known`` are connected already and found together.
     """
     sizes = np.array([len(s[0]) for s in sets])
     _, col = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)
@@ -166,18 +167,21 @@ def links_in_block(sets: list[tuple[np.ndarray, np.ndarray]], least: float) -> l
     ends = np.cumsum(sizes)
     total = np.add.reduceat(tf, ends - sizes).astype(np.float64)
     seen = np.zeros(col.max() + 1, dtype=np.int32)
-    left = np.arange(len(sets))  # not found yet; column and tf hold these documents' entries
+    label = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
+    left = np.arange(len(sets))  # not found yet; l_col and l_tf hold these documents' entries
     l_col, l_tf, l_size = col, tf, sizes
     out: list[tuple[int, int]] = []
 
-    def keep(mask: np.ndarray) -> None:
+    def take(labels: np.ndarray) -> list[int]:
         nonlocal left, l_col, l_tf, l_size
+        mask = ~np.isin(label[left], labels)
+        found = left[~mask].tolist()
         e = np.repeat(mask, l_size)
         left, l_col, l_tf, l_size = left[mask], l_col[e], l_tf[e], l_size[mask]
+        return found
 
     while len(left) > 1:
-        queue = [int(left[0])]
-        keep(np.arange(len(left)) > 0)
+        queue = take(label[left[:1]])
         while queue and len(left):
             x = queue.pop()
             span = slice(ends[x] - sizes[x], ends[x])
@@ -186,35 +190,60 @@ def links_in_block(sets: list[tuple[np.ndarray, np.ndarray]], least: float) -> l
             seen[col[span]] = 0
             like = both >= least * (total[x] + total[left] - both) - 1e-9
             if like.any():
-                found = left[like].tolist()
-                out += [(x, y) for y in found]
-                queue += found
-                keep(~like)
+                out += [(x, y) for y in left[like].tolist()]
+                queue += take(label[left[like]])
     return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by item; each item's documents are compared with one another."""
-    key, rids, texts = None, [], {}
+    key, held = None, {}
 
     def compare() -> pa.RecordBatch | None:
-        if len(texts) < 2:
+        if len(held) < 2 or len({v for _, v in held.values()}) < 2:
             return None
-        ids = list(texts)
-        links = links_in_block([shingles(word_hashes(texts[r])) for r in ids], least)
+        ids = list(held)
+        links = links_in_block([shingles(word_hashes(held[r][0])) for r in ids], least, [held[r][1] for r in ids])
         return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], pa.int64()), pa.array([ids[b] for _, b in links], pa.int64())], names=["a", "b"])
 
-    for b in batches:
-        for c, i, j, r, t in zip(*(b.column(n).to_pylist() for n in ("component", "i", "j", "rid", "text")), strict=True):
+    for batch in batches:
+        for c, i, j, r, v, t in zip(*(batch.column(n).to_pylist() for n in ("component", "i", "j", "rid", "v", "text")), strict=True):
             if (c, i, j) != key:
                 if (out := compare()) is not None:
                     yield out
-                key, texts = (c, i, j), {}
-            texts[r] = t
+                key, held = (c, i, j), {}
+            held[r] = t, v
     if (out := compare()) is not None:
         yield out
 
 
+def _links(items: DataFrame, least: float) -> DataFrame:
+    """Links found in rows (component, i, j, rid, v, text), written."""
+    dealt = items.select("component", "i", "j", "rid", "v", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rid")
+    return written(dealt.mapInArrow(lambda it: _verify(it, least), "a long, b long"), "links")
+
+
+def _far_links(big: DataFrame, links: DataFrame, least: float, block: int) -> DataFrame:
+    """Links that blocks of large groups could not see on their own.
+
+    After the blocks have been joined through a shared anchor, a group of near
+    copies is mostly one class. Only documents outside a group's largest class
+    meet all others, so the work is (documents outside) x (documents), not the
+    square of the group.
+    """
+    found = components(links).select(F.col("node").alias("rid"), F.col("component").alias("found"))
+    d = written(big.select("component", "rid", "text").join(found, "rid", "left").withColumn("v", F.coalesce("found", "rid")).drop("found"), "large")
+    per = d.groupBy("component", "v").agg(F.count("*").alias("n"))
+    main = per.groupBy("component").agg(F.max_by("v", F.struct("n", "v")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n")).where("n > m")
+    main = main.select("component", "main", F.ceil(F.col("m") / block).cast("int").alias("mb"), F.ceil((F.col("n") - F.col("m")) / block).cast("int").alias("rb"))
+    d = d.join(main, "component").withColumn("own", F.pmod(F.xxhash64("rid"), F.expr("if(v = main, mb, rb)")).cast("int"))
+    # Blocks 0 .. rb - 1 are of the rest, rb .. rb + mb - 1 of the largest class.
+    of_main = "transform(sequence(0, rb - 1), o -> named_struct('i', o, 'j', rb + own))"
+    of_rest = "concat(transform(sequence(0, rb - 1), o -> named_struct('i', least(o, own), 'j', greatest(o, own))), transform(sequence(0, mb - 1), o -> named_struct('i', own, 'j', rb + o)))"
+    d = d.withColumn("it", F.explode(F.expr(f"if(v = main, {of_main}, {of_rest})")))
+    return _links(d.select("component", "it.i", "it.j", "rid", "v", "text"), least)
+
+
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept, and k, the MD5 of the text.
 
@@ -231,8 +260,10 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int =
     Texts of equal words are one representative from the start, so a group of
     exact copies is a few rows. Of a bucket only links to its smallest member
     are made; the components of these are what the exact check compares. Those
-    of at most ``block`` texts are compared in one task each, larger ones block
-    against block in many tasks; tasks return spanning links, never pairs.
+    of at most ``block`` texts are compared in one task each. Larger ones are
+    compared within blocks that share an anchor, and then only documents outside
+    the largest class so found meet all others, block against block. Tasks
+    return links that join parts, never all pairs.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     sketch = base.mapInArrow(lambda it: _sketch(it, bands, rows), "doc_id long, k binary, h binary, bands array<long>")
@@ -251,10 +282,17 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int =
     cand = cand.join(sizes, "component").withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
     cand = cand.withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     texts = base.join(cand, (base.k == cand.kk) & base.doc_id.eqNullSafe(cand.d)).select("rid", "component", "nb", "blk", "text")
-    items = texts.withColumn("o", F.explode(F.expr("if(nb = 1, array(0), array_remove(sequence(0, nb - 1), blk))")))
-    items = items.select("component", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "rid", "text")
-    items = items.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rid")
-    links = written(items.mapInArrow(lambda it: _verify(it, least), "a long, b long"), "links")
+    if sizes.where(F.col("n") > block).limit(1).count():
+        texts = written(texts, "candidates")
+        big = texts.where("nb > 1").dropDuplicates(["rid"])
+        anchor = sizes.where(F.col("n") > block).join(may, "component").groupBy("component").agg(F.min("node").alias("rid"))
+        shared = big.join(anchor, ["component", "rid"]).withColumn("blk", F.explode(F.expr("sequence(0, nb - 1)")))
+        near = texts.union(shared.select(*texts.columns))
+    else:
+        big, near = None, texts
+    links = _links(near.select("component", F.col("blk").alias("i"), F.lit(0).alias("j"), "rid", F.col("rid").alias("v"), "text"), least)
+    if big is not None:
+        links = links.union(_far_links(big, links, least, block))
 
     classes = components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "class")
     joined = rows_.join(classes, "rep", "left").select("rid", "doc_id", "k", F.coalesce("class", "rep").alias("class"))
