@@ -58,12 +58,16 @@ def judge_urls(
 
     Tree, per host and path position (``depth`` of them; deeper segments join in
     the last): a segment of digits, hex, or with an identifier's digits becomes
-    ``*``; so does one seen fewer than ``min_literal`` times below its parent.
-    Literal branches whose labelled bad share does not differ from that of the
-    parent (two-proportion z below ``z``, or without labels) merge into ``*``
-    too. A template's purity is its bad share smoothed towards its host's, and
-    that towards ``prior``, with weight ``smoothing``; a purity of ``reject``
-    or more is the verdict block. Without labels on its host nothing is rejected.
+    ``*``. A labelled branch merges into ``*`` only if its siblings have labels
+    too, and it is seen fewer than ``min_literal`` times below its parent or its
+    bad share does not differ from theirs (two-proportion z below ``z``). Branches
+    without labels never share a template with labelled ones: below a parent with
+    labels, variable ones and those seen fewer than ``min_literal`` times become
+    ``?`` (which no path holds), else ``*``; the others stay literal. A template's
+    purity is its bad share smoothed towards its host's, and that towards
+    ``prior``, with weight ``smoothing``; a purity of ``reject`` or more is the
+    verdict block if the template has labels of its own. Without them nothing is
+    rejected.
 
     Null and broken URLs have empty host and path and the empty template;
     repeated rows, null page ids and rows of one host stay as they are; an
@@ -103,15 +107,18 @@ def judge_urls(
         pool = (F.col("pb") + 1) / (F.col("pl") + 2)
         err = F.sqrt(pool * (1 - pool) * (1 / F.col("ll") + 1 / rest_l))
         apart = (F.col("ll") > 0) & (rest_l > 0) & (F.abs(F.col("lb") / F.col("ll") - rest_b / rest_l) >= z * err)
-        keep = F.col(f"s{k}").isin("", "*") | ((F.col("ln") >= min_literal) & apart)
-        named = both.select(*parent, f"s{k}", F.when(keep, F.col(f"s{k}")).otherwise("*").alias(f"t{k}"))
+        s = F.col(f"s{k}")
+        often = F.col("ln") >= min_literal
+        bare = F.when(often & (s != "*"), s).when(F.col("pl") > 0, "?").otherwise("*")
+        name = F.when(s == "", s).when(F.col("ll") == 0, bare).when((rest_l == 0) | (often & apart), s).otherwise("*")
+        named = both.select(*parent, f"s{k}", name.alias(f"t{k}"))
         tree = written(tree.join(named, [*parent, f"s{k}"]), "tree")  # else each level would plan all before it three times
         parent = [*parent, f"t{k}"]
     template = F.concat(F.col("host"), *(F.concat(F.when(F.col(f"t{k}") == "", "").otherwise("/"), F.col(f"t{k}")) for k in range(depth)))
     tree = tree.withColumn("template", template)
     hosts = raw.groupBy("host").agg(((F.sum("bad") + smoothing * prior) / (F.sum("labelled") + smoothing)).alias("hp"))
     judged = tree.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb")).join(hosts, "host")
-    judged = judged.select("host", "template", ((F.col("tb") + smoothing * F.col("hp")) / (F.col("tl") + smoothing)).alias("purity"))
-    branch = tree.select(*keys, "template").join(judged, ["host", "template"]).select(*keys, "template", "purity")
+    judged = judged.select("host", "template", "tl", ((F.col("tb") + smoothing * F.col("hp")) / (F.col("tl") + smoothing)).alias("purity"))
+    branch = tree.select(*keys, "template").join(judged, ["host", "template"]).select(*keys, "template", "tl", "purity")
     out = p.join(branch, keys, "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") >= reject, "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when((F.col("tl") > 0) & (F.col("purity") >= reject), "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
