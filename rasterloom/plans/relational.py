@@ -26,6 +26,17 @@ def b_outer_joins(spark, sf_dir):
     return d.groupBy("n_name").agg(F.count("s_suppkey").alias("suppliers"), F.count("c_custkey").alias("customers"))
 
 
+@query("SELECT n.n_name, count(s_suppkey) AS suppliers, count(c_custkey) AS customers FROM nation n LEFT JOIN supplier ON s_nationkey = n_nationkey FULL JOIN customer ON c_nationkey = n_nationkey GROUP BY n.n_name")
+def b_outer_joins_whole(spark, sf_dir):
+    """All matches of the outer joins, counted from one row per nation and side, so that no product of rows is made."""
+    s = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("s_rows"), F.count("s_suppkey").alias("s_keys"))
+    c = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c_rows"), F.count("c_custkey").alias("c_keys"))
+    n = _t(spark, sf_dir, "nation").join(s, F.expr("s_nationkey = n_nationkey"), "left")
+    d = n.join(c, F.expr("c_nationkey = n_nationkey"), "full")
+    suppliers, customers = F.expr("coalesce(s_keys, 0) * coalesce(c_rows, 1)"), F.expr("coalesce(c_keys, 0) * coalesce(s_rows, 1)")
+    return d.groupBy("n_name").agg(F.sum(suppliers).alias("suppliers"), F.sum(customers).alias("customers"))
+
+
 @query("SELECT e.event_id, e.user_id, (SELECT max(p.event_id) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.event_id <= e.event_id) AS purchase_id FROM events e WHERE e.event_type = 'error'")
 def b_as_of_join(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("at"), "event_type", "event_id")
