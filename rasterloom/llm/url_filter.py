@@ -56,9 +56,9 @@ def judge_urls(
     Labels: pages that a rule blocks and pages of hosts with a seed term are bad
     (1), pages that a rule allows are good (0), others have none.
 
-    Tree, per host and path position (``depth`` of them; deeper segments join in
-    the last): a segment of digits, hex, or with an identifier's digits becomes
-    ``*``. A labelled branch merges into ``*`` only if its siblings have labels
+    Tree, per host and path position (``depth`` of them; the last holds all
+    deeper segments too, joined by ``/``): a segment of digits, hex, or with an
+    identifier's digits becomes ``*``. A labelled branch merges into ``*`` only if its siblings have labels
     too, and it is seen fewer than ``min_literal`` times below its parent or its
     bad share does not differ from theirs (two-proportion z below ``z``). Branches
     without labels never share a template with labelled ones: below a parent with
@@ -88,10 +88,10 @@ def judge_urls(
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
     p = p.withColumn("segs", segs)
     variable = lambda s: s.rlike(r"^[0-9]+([._-][A-Za-z0-9]*)?$|^[0-9a-fA-F-]{8,}$|[0-9]{3,}")
-    for k in range(depth):
-        s = F.get("segs", F.lit(k))
-        p = p.withColumn(f"s{k}", F.when(s.isNull(), F.lit("")).when(variable(s), F.lit("*")).otherwise(s))
-    p = p.drop("segs")
+    p = p.withColumn("segs", F.transform("segs", lambda s: F.when(variable(s), F.lit("*")).otherwise(s)))
+    for k in range(depth - 1):
+        p = p.withColumn(f"s{k}", F.coalesce(F.get("segs", F.lit(k)), F.lit("")))
+    p = p.withColumn(f"s{depth - 1}", F.array_join(F.slice("segs", depth, F.greatest(F.size("segs"), F.lit(1))), "/")).drop("segs")
 
     # One pre-aggregated table of raw branches carries all that the tree needs.
     keys = ["host", *(f"s{k}" for k in range(depth))]

@@ -27,3 +27,13 @@ def test_labels_of_a_template_reach_its_other_pages(spark):
     """The rule names ids from 12 on; the other ids share their template."""
     got = verdicts(spark, [f"http://a.net/shop/{k}" for k in range(1200, 1240)] + ["http://a.net/shop/7"])
     assert got["http://a.net/shop/7"]["rule"] is None and got["http://a.net/shop/7"]["verdict"] == "block"
+
+
+def test_segments_below_the_depth_count(spark):
+    """Good and bad branches that part in the fifth segment do not share a purity."""
+    rules = [("block", "net/a/b/c/d/bad/1"), ("allow", "net/a/b/c/d/good/1")]
+    sides = {s: [f"http://x.net/a/b/c/d/{s}/{k}" for k in range(100, 140)] for s in ("bad", "good")}
+    got = verdicts(spark, [*sides["bad"], *sides["good"], *(f"http://x.net/a/b/c/d/{s}/7" for s in sides), "http://x.net/a/b/c"], rules)
+    assert {got[u]["template"] for u in sides["bad"]} == {"x.net/a/b/c/d/bad/*"}
+    assert {got[u]["template"] for u in sides["good"]} == {"x.net/a/b/c/d/good/*"}
+    assert (got["http://x.net/a/b/c/d/bad/7"]["verdict"], got["http://x.net/a/b/c/d/good/7"]["verdict"]) == ("block", "allow")
