@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.pixel import RUN_CAP
 from rasterloom.operators.predict import DELTA_ORDER, KEY_ORDER
+from rasterloom.operators.sequence import dense
 
 _RANK = {False: KEY_ORDER, True: DELTA_ORDER}
 
@@ -34,11 +35,12 @@ def capped_runs(df: DataFrame, order: str, value: Column, by: list[str] = (), ca
 def global_runs(df: DataFrame, order: str, value: Column, cap: int = RUN_CAP, width: int = 4096) -> DataFrame:
     """Capped runs of one sequence of any length, no single-task window over all rows.
 
-    ``order`` is a dense row number. Blocks of ``width`` rows find their own
+    The ids ``order`` may have gaps: runs are cut by row number, and ``start``
+    is the id of a run's first row. Blocks of ``width`` rows find their own
     changes; only one row per block meets in one place to learn where the island
     that enters the block began; that number is rows / ``width``.
     """
-    d = df.select(F.col(order).alias("o"), value.alias("value")).withColumn("blk", F.floor(F.col("o") / width).cast("long"))
+    d = dense(df.select(F.col(order).alias("id"), value.alias("value")), "id", "o").withColumn("blk", F.floor(F.col("o") / width).cast("long"))
     w = Window.partitionBy("blk").orderBy("o")
     d = d.withColumn("new", F.when(F.lag("value").over(w).eqNullSafe(F.col("value")) & F.lag(F.lit(1)).over(w).isNotNull(), F.lit(None)).otherwise(F.col("o")))
     # Heads of blocks count as changes for now; whether they are is settled on one row per block.
@@ -53,7 +55,7 @@ def global_runs(df: DataFrame, order: str, value: Column, cap: int = RUN_CAP, wi
     d = d.join(heads, "blk").withColumn("new", F.when(F.col("o") == F.col("at"), F.col("head")).otherwise(F.col("new")))
     d = d.withColumn("island", F.last("new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     part = F.floor((F.col("o") - F.col("island")) / cap)
-    return d.groupBy("island", part.alias("part"), "value").agg(F.min("o").alias("start"), F.count("*").alias("n")).select("start", "value", "n")
+    return d.groupBy("island", part.alias("part"), "value").agg(F.min("id").alias("start"), F.count("*").alias("n")).select("start", "value", "n")
 
 
 def expand(runs: DataFrame, value: str = "value", n: str = "n", start: str = "start") -> DataFrame:

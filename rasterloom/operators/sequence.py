@@ -23,6 +23,19 @@ def running(df: DataFrame, order: str, value: Column, how: str, name: str, width
     return d.withColumn(name, out).drop("__blk", "__v", "__c")
 
 
+def dense(df: DataFrame, order: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds ``name``: the row number (0, 1, ...) along the unique ids ``order``, which may have gaps.
+
+    Blocks of ``width`` ids count on their own; only one row per block that
+    has rows passes through the window that carries the counts over.
+    """
+    d = df.withColumn("__blk", F.floor(F.col(order) / width).cast("long"))
+    ahead = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = d.groupBy("__blk").agg(F.count("*").alias("__n")).select("__blk", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__c"))
+    inside = F.row_number().over(Window.partitionBy("__blk").orderBy(order)) - 1
+    return d.withColumn("__k", inside).join(carried, "__blk").withColumn(name, F.col("__c") + F.col("__k")).drop("__blk", "__k", "__c")
+
+
 def keyframes(df: DataFrame, order: str, flat: Column, interval: int) -> DataFrame:
     """Adds flat, is_key, segment (1, 2, ...) and since_key.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.operators.sequence import dense
+
 
 def histogram(df: DataFrame, ctx: list[str], sym: str) -> DataFrame:
     return df.groupBy(*ctx, sym).agg(F.count("*").alias("cnt"))
@@ -40,9 +42,10 @@ def transitions(df: DataFrame, by: list[str], order: str, value: Column) -> Data
 
 
 def follower_counts(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Transition counts of one dense sequence, by an equi-join on the row number instead of a global window."""
-    a = df.select(F.col(order).alias("o"), F.col(value).alias("prev"))
-    b = df.select((F.col(order) - 1).alias("o"), F.col(value).alias("cur"))
+    """Transition counts of one sequence, by an equi-join on the row number instead of a global window; ids may have gaps."""
+    d = dense(df.select(order, value), order, "row")
+    a = d.select(F.col("row").alias("o"), F.col(value).alias("prev"))
+    b = d.select((F.col("row") - 1).alias("o"), F.col(value).alias("cur"))
     return a.join(b, "o").groupBy("prev", "cur").agg(F.count("*").alias("cnt"))
 
 
