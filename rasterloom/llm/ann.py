@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -125,18 +126,26 @@ def nearest(df: DataFrame, *, k: int = 20, every: int = 20, block: int = 1024) -
 
     Nearness is the largest inner product, in doubles, of the vectors as given;
     ties go to the smaller vec_id. Null vec_ids neither ask nor answer. Vectors
-    that are null, empty, zero, hold null or non-finite components, or have
-    another length than most, take no part. Equal vectors are indexed once with
+    that are null, empty, zero, or hold null or non-finite components take no
+    part. A query meets the vectors of its own length, which have an index of
+    their own. Equal vectors are indexed once with
     their k + 1 smallest rows, which is all that an answer can hold of them;
     each repeated query row gets its own answer. A query that found fewer than
     ``k`` searches all lists; an empty table gives no rows; other columns are
     ignored.
 
-    The index is fitted on at most 16,384 vectors; every vector stands in it.
+    An index is fitted on at most 16,384 vectors; every vector stands in one.
     The k-th best score within the sample bounds each query's answer from
     below, so tasks return only rows that may be part of it.
     """
     rows = numbered(df).where("v IS NOT NULL AND vec_id IS NOT NULL")
+    dims = sorted(r["dim"] for r in rows.select(F.size("v").alias("dim")).distinct().collect())
+    parts = [_nearest_of(rows.where(F.size("v") == dim), k, every, block) for dim in dims]
+    return reduce(DataFrame.union, parts) if parts else _nearest_of(rows, k, every, block)
+
+
+def _nearest_of(rows: DataFrame, k: int, every: int, block: int) -> DataFrame:
+    """:func:`nearest` over valid rows whose vectors have one length."""
     first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "rid"))).where(F.col("rn") <= k + 1)
     one = first.groupBy("v").agg(F.min("rid").alias("rid"), F.array_sort(F.collect_list(F.struct("vec_id", "rid"))).alias("ids"))
     one = written(one, "distinct")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,47 +69,51 @@ def fit_quantiser(sample: np.ndarray, lists: int) -> Quantiser:
 def near_vectors(df: DataFrame, *, cosine: float = COSINE, per_list: int = PER_LIST, block: int = 1024) -> DataFrame:
     """One row per row of ``df`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    Vectors link if their labels are equal and not null and their cosine, in
-    doubles, is ``cosine`` or more. Vectors that are null, empty, zero, hold
-    null or non-finite components, or have another length than most, link with
-    nothing. Equal vectors and repeated rows link with one another and are one
+    Vectors link if their labels are equal and not null, their lengths are
+    equal, and their cosine, in doubles, is ``cosine`` or more. Vectors that are
+    null, empty, zero, or hold null or non-finite components link with nothing. Equal vectors and repeated rows link with one another and are one
     vector with a count until the end. Null vec_ids count as rows and never
     name a component that has another id; an empty table gives no rows; other
     columns are ignored.
 
-    The quantiser is fitted on at most 16,384 vectors and sized by the most
-    frequent label; every vector is indexed and asks. Tasks return a row per
+    Each length has a quantiser, fitted on at most 16,384 of its vectors and
+    sized by its most frequent label; every vector is indexed and asks. Tasks return a row per
     vector with links (a sum and a spanning link), never pairs.
     """
     rows = numbered(df, "label")
     valid = rows.where("v IS NOT NULL AND label IS NOT NULL")
     one = written(valid.groupBy("label", "v").agg(F.min("rid").alias("rid"), F.count("*").alias("mult")), "distinct")
-    most = one.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    q = fit_quantiser(sample_matrix(one), min(1024, -(-most // per_list)))
+    most = one.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("most")).collect()
+    fitted = {m["dim"]: fit_quantiser(sample_matrix(one.where(F.size("v") == m["dim"])), min(1024, -(-m["most"] // per_list))) for m in most}
     within = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    apart = np.sqrt(distances2(q.lists, q.lists))
+    apart = {dim: np.sqrt(distances2(q.lists, q.lists)) for dim, q in fitted.items()}
+
+    def by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+        dims = pc.list_value_length(b.column("v"))
+        for dim in pc.unique(dims).to_pylist():
+            yield dim, b.filter(pc.equal(dims, dim))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for dim, b in (part for whole in batches for part in by_length(whole)):
+            q = fitted[dim]
             d, own, codes, err = q.encode(unit(matrix(b.column("v"))))
             gap = d - d[np.arange(len(d)), own][:, None]
             # Pairs of two lists meet in the later one.
-            ask = (gap <= 2 * (within + 1e-9) * apart[own]) & (np.arange(len(q.lists))[None] > own[:, None])
+            ask = (gap <= 2 * (within + 1e-9) * apart[dim][own]) & (np.arange(len(q.lists))[None] > own[:, None])
             who, where = np.nonzero(ask)
             n, m = len(d), len(who)
             take = b.take(pa.array(np.concatenate([np.arange(n), who])))
             yield pa.RecordBatch.from_arrays(
                 [
-                    take.column("label"), pa.array(np.concatenate([own, where]), pa.int32()), pa.array([0] * n + [1] * m, pa.int32()), take.column("rid"), take.column("mult"), take.column("v"),
+                    take.column("label"), pa.array([dim] * (n + m), pa.int32()), pa.array(np.concatenate([own, where]), pa.int32()), pa.array([0] * n + [1] * m, pa.int32()), take.column("rid"), take.column("mult"), take.column("v"),
                     pa.array([c.tobytes() for c in codes] + [None] * m, pa.binary()), pa.array(np.concatenate([err, np.zeros(m)])),
                 ],
-                names=["label", "list", "side", "rid", "mult", "v", "code", "err"],
+                names=["label", "dim", "list", "side", "rid", "mult", "v", "code", "err"],
             )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, k, kind, i, j), t in by_item(batches, ["label", "list", "kind", "i", "j"]):
+        for (_, dim, k, kind, i, j), t in by_item(batches, ["label", "dim", "list", "kind", "i", "j"]):
+            q = fitted[dim]
             place = t.column("place").to_numpy()
             x, rid, mult = unit(matrix(t.column("v").combine_chunks())), t.column("rid").to_numpy(), t.column("mult").to_numpy()
             err, code = t.column("err").to_numpy(), t.column("code").to_pylist()
@@ -146,8 +151,8 @@ def near_vectors(df: DataFrame, *, cosine: float = COSINE, per_list: int = PER_L
             on = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(rid[on]), pa.array(n[on].astype(np.int64)), pa.array(rid[root[on]])], names=["rid", "n", "root"])
 
-    dealt = written(one.select("label", "rid", "mult", "v").mapInArrow(deal, "label int, list int, side int, rid long, mult long, v array<double>, code binary, err double"), "lists")
-    links = written(items(dealt, ["label", "list"], True, block).mapInArrow(compare, "rid long, n long, root long"), "links")
+    dealt = written(one.select("label", "rid", "mult", "v").mapInArrow(deal, "label int, dim int, list int, side int, rid long, mult long, v array<double>, code binary, err double"), "lists")
+    links = written(items(dealt, ["label", "dim", "list"], True, block).mapInArrow(compare, "rid long, n long, root long"), "links")
     degree = links.groupBy("rid").agg(F.sum("n").alias("n"))
     groups = components(links, "rid", "root").withColumnRenamed("node", "rid")
     known = one.join(degree, "rid", "left").join(groups, "rid", "left").select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rid").alias("group"))

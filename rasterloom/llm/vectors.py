@@ -19,12 +19,10 @@ def numbered(df: DataFrame, *more: str) -> DataFrame:
     """Written rows (rid, vec_id, ``more``, v): v is the vector as doubles, null where it takes no part.
 
     No part take vectors that are null, empty, zero, or hold a null or a
-    non-finite component, and those of another length than most have.
+    non-finite component. Vectors of several lengths may stand side by side.
     """
     v = F.expr("CASE WHEN forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x != 0) THEN cast(embedding AS array<double>) END")
-    rows = written(with_row_id(df.select("vec_id", *more, v.alias("v"))), "vectors")
-    size = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows if size is None else rows.withColumn("v", F.when(F.size("v") == size["d"], F.col("v")))
+    return written(with_row_id(df.select("vec_id", *more, v.alias("v"))), "vectors")
 
 
 def sample_matrix(distinct: DataFrame, n: int = SAMPLE) -> np.ndarray:
