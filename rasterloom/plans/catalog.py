@@ -92,6 +92,15 @@ def a08_pack_columns(spark, sf_dir):
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", word.alias("word"))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS INT) // 2 * 1024 + CAST(round(l_discount * 100) AS INT) * 32 + CAST(round(l_tax * 100) AS INT) AS INT) AS word, CAST(CAST(l_quantity AS INT) % 2 AS INT) AS low FROM lineitem")
+def a08_pack_columns_whole(spark, sf_dir):
+    """The 16-bit packing over all rows: half the quantity fits five bits, and ``low`` keeps the bit that it lacks."""
+    d = _t(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("int")
+    word = pixel.pack16([F.shiftright(q, 1), F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int")])
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", word.alias("word"), (q % 2).alias("low"))
+
+
 @query(_with(f" SELECT frame_id, y, string_agg(printf('%02x%02x%02x', r, g, b), '' ORDER BY x) || '{'00' * ((-3 * W) % 4)}' AS line FROM frames GROUP BY frame_id, y"))
 def a09_a10_scan_lines(spark, sf_dir):
     """Padded scan lines, as hex."""
