@@ -1,11 +1,14 @@
 """Near-duplicate vectors: inverted lists, residual product codes, exact rerank.
 
-Unit vectors with cosine >= c lie within t = sqrt(2 - 2c). A coarse quantiser
-parts them into lists. A vector probes every list whose bisecting plane with
-its own list is within t, so the list of any partner is probed; a product code
-stands for the residual with a known error, so table-lookup distances above
-t + error rule out a pair for certain. What is left is ranked by the exact
-cosine. No pair above the threshold is lost.
+Unit vectors with cosine >= c are at most the angle arccos(c) apart. A coarse
+quantiser parts them into lists. A vector probes every list that a partner could
+be in: the partner's angle to the list's direction lies in the range of angles
+that the list's vectors have, and the partner is nearer to that centroid than to
+the vector's own one; both are tested against the best that any vector within
+the angle could reach. A product code stands for the residual with a known
+error, so table-lookup distances above the radius plus the error rule out a pair
+for certain. What is left is ranked by the exact cosine. No pair above the
+threshold is lost.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import components, written
-from rasterloom.llm.vectors import by_item, distances2, items, k_means, matrix, numbered, sample_matrix
+from rasterloom.llm.shared import components, drop, written
+from rasterloom.llm.vectors import BLOCK, by_item, distances2, fit_lists, items, k_means, list_count, matrix, numbered, sample_matrix, steps
 
 COSINE = 0.93
-#: Vectors of a label to a list, about; subspaces and codes of each.
-PER_LIST, SUBSPACES, CODES = 512, 8, 256
+#: Vectors of a label to a list, about; components to a subspace, about, and codes of each.
+PER_LIST, COMPONENTS, CODES = 128, 4, 256
+SLACK = 1e-7
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -38,78 +42,93 @@ class Quantiser:
     books: list[np.ndarray]
     cuts: list[int]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distances² to lists, own list, codes, errors)."""
-        d = distances2(x, self.lists)
-        own = d.argmin(axis=1)
+    def __post_init__(self):
+        self.square = (self.lists * self.lists).sum(axis=1)
+        size = np.sqrt(self.square)
+        self.directions = self.lists / np.maximum(size, 1e-12)[:, None]
+        self.angles = np.tile([0.0, np.pi], (len(self.lists), 1))
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([*(distances2(x[s], self.lists).argmin(axis=1) for s in steps(len(x), len(self.lists))), np.zeros(0, dtype=int)])
+
+    def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, errors, angles to the own list's direction)."""
         rest = x - self.lists[own]
         codes, near = np.zeros((len(x), len(self.books)), dtype=np.uint8), np.zeros_like(rest)
         for s, book in enumerate(self.books):
             part = slice(self.cuts[s], self.cuts[s + 1])
             codes[:, s] = distances2(rest[:, part], book).argmin(axis=1)
             near[:, part] = book[codes[:, s]]
-        return d, own, codes, np.sqrt(((rest - near) ** 2).sum(axis=1))
+        angle = np.arccos(np.clip((x * self.directions[own]).sum(axis=1), -1, 1))
+        return codes, np.sqrt(((rest - near) ** 2).sum(axis=1)), angle
+
+    def probes(self, x: np.ndarray, own: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, list): other lists that could hold a vector of ``cosine`` or more to the row's."""
+        turn = float(np.arccos(np.clip(cosine, -1, 1)))
+        for s in steps(len(x), len(self.lists)):
+            mine = own[s]
+            angle = np.arccos(np.clip(x[s] @ self.directions.T, -1, 1))
+            may = (angle <= self.angles[None, :, 1] + turn + SLACK) & (angle >= self.angles[None, :, 0] - turn - SLACK)
+            # Along w, from the own centroid to the other, x can be turned to reach ``most``; beyond ``plane`` the other one is nearer.
+            to = x[s] @ self.lists.T
+            along = to - to[np.arange(len(mine)), mine][:, None]
+            across = np.sqrt(np.maximum(distances2(self.lists[mine], self.lists) - along * along, 0))
+            most = np.where(np.arctan2(across, along) <= turn, np.hypot(along, across), np.cos(turn) * along + np.sin(turn) * across)
+            may &= most >= (self.square[None] - self.square[mine][:, None]) / 2 - SLACK
+            may[np.arange(len(mine)), mine] = False
+            a, b = np.nonzero(may)
+            yield a + s.start, b
 
     def lookup(self, x: np.ndarray, k: int, codes: np.ndarray) -> np.ndarray:
         """Distances from ``x`` to what ``codes`` of list ``k`` stand for, by tables."""
-        rest, out = x - self.lists[k], np.zeros((len(x), len(codes)))
+        rest, out = x - self.lists[k], np.zeros((len(x), len(codes)), dtype=np.float32)
         for s, book in enumerate(self.books):
-            out += distances2(rest[:, self.cuts[s] : self.cuts[s + 1]], book)[:, codes[:, s]]
+            out += distances2(rest[:, self.cuts[s] : self.cuts[s + 1]], book).astype(np.float32)[:, codes[:, s]]
         return np.sqrt(out)
 
 
-def fit_quantiser(sample: np.ndarray, lists: int) -> Quantiser:
-    x = unit(sample) if len(sample) else sample
-    c = k_means(x, lists)
-    rest = x - c[distances2(x, c).argmin(axis=1)] if len(x) else x
-    cuts = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int).tolist()
-    return Quantiser(c, [k_means(rest[:, a:b], CODES, rounds=5) for a, b in zip(cuts, cuts[1:], strict=False)], cuts)
+def fit_quantiser(rows: DataFrame, n: int, most: int, per_list: int = PER_LIST) -> Quantiser:
+    """Lists and codes for the ``n`` written rows (rid, v) of one length; the largest label has ``most`` of them."""
+    lists = fit_lists(rows, n, list_count(most, per_list), unit)
+    x = sample_matrix(rows)
+    x = unit(x) if len(x) else x
+    q = Quantiser(lists, [], [])
+    rest = x - lists[q.own(x)] if len(x) else x
+    q.cuts = np.linspace(0, x.shape[1], -(-x.shape[1] // COMPONENTS) + 1).astype(int).tolist()
+    q.books = [k_means(rest[:, a:b], CODES, rounds=5) for a, b in zip(q.cuts, q.cuts[1:], strict=False)]
+    return q
 
 
-def near_vectors(df: DataFrame, *, cosine: float = COSINE, per_list: int = PER_LIST, block: int = 1024) -> DataFrame:
+def near_vectors(df: DataFrame, *, cosine: float = COSINE, per_list: int = PER_LIST, block: int = BLOCK) -> DataFrame:
     """One row per row of ``df`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and not null, their lengths are
     equal, and their cosine, in doubles, is ``cosine`` or more. Vectors that are
-    null, empty, zero, or hold null or non-finite components link with nothing. Equal vectors and repeated rows link with one another and are one
-    vector with a count until the end. Null vec_ids count as rows and never
-    name a component that has another id; an empty table gives no rows; other
-    columns are ignored.
-
-    Each length has a quantiser, fitted on at most 16,384 of its vectors and
-    sized by its most frequent label; every vector is indexed and asks. Tasks return a row per
-    vector with links (a sum and a spanning link), never pairs.
+    null, empty, zero, or hold null or non-finite components link with nothing.
+    Equal vectors and repeated rows link with one another and are one vector
+    with a count until the end. Null vec_ids count as rows and never name a
+    component that has another id; an empty table gives no rows; other columns
+    are ignored.
+
+    Each length has a quantiser, its lists sized by the most frequent label
+    (``per_list`` vectors to a list, or as many as there are lists where that is
+    more) and fitted on a sample (see :func:`fit_lists`); every vector is
+    indexed and asks. Tasks return a row per vector with links (a sum and a
+    spanning link), never pairs. On vectors without structure most lists could
+    hold a partner; work then grows with the square of a label.
     """
     rows = numbered(df, "label")
-    valid = rows.where("v IS NOT NULL AND label IS NOT NULL")
-    one = written(valid.groupBy("label", "v").agg(F.min("rid").alias("rid"), F.count("*").alias("mult")), "distinct")
-    most = one.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("most")).collect()
-    fitted = {m["dim"]: fit_quantiser(sample_matrix(one.where(F.size("v") == m["dim"])), min(1024, -(-m["most"] // per_list))) for m in most}
+    one, fitted = index_vectors(rows.where("v IS NOT NULL AND label IS NOT NULL"), per_list)
     within = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    apart = {dim: np.sqrt(distances2(q.lists, q.lists)) for dim, q in fitted.items()}
-
-    def by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-        dims = pc.list_value_length(b.column("v"))
-        for dim in pc.unique(dims).to_pylist():
-            yield dim, b.filter(pc.equal(dims, dim))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for dim, b in (part for whole in batches for part in by_length(whole)):
-            q = fitted[dim]
-            d, own, codes, err = q.encode(unit(matrix(b.column("v"))))
-            gap = d - d[np.arange(len(d)), own][:, None]
-            # Pairs of two lists meet in the later one.
-            ask = (gap <= 2 * (within + 1e-9) * apart[dim][own]) & (np.arange(len(q.lists))[None] > own[:, None])
-            who, where = np.nonzero(ask)
-            n, m = len(d), len(who)
-            take = b.take(pa.array(np.concatenate([np.arange(n), who])))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    take.column("label"), pa.array([dim] * (n + m), pa.int32()), pa.array(np.concatenate([own, where]), pa.int32()), pa.array([0] * n + [1] * m, pa.int32()), take.column("rid"), take.column("mult"), take.column("v"),
-                    pa.array([c.tobytes() for c in codes] + [None] * m, pa.binary()), pa.array(np.concatenate([err, np.zeros(m)])),
-                ],
-                names=["label", "dim", "list", "side", "rid", "mult", "v", "code", "err"],
-            )
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, b in (part for whole in batches for part in _by_length(whole)):
+            x, own = unit(matrix(b.column("v"))), b.column("list").to_numpy()
+            yield _asked(b, 0, own)
+            for who, where in fitted[dim].probes(x, own, cosine):
+                on = where > own[who]  # pairs of two lists meet in the later one
+                for at in range(0, int(on.sum()), 10_000):
+                    yield _asked(b.take(pa.array(who[on][at : at + 10_000])), 1, where[on][at : at + 10_000])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, dim, k, kind, i, j), t in by_item(batches, ["label", "dim", "list", "kind", "i", "j"]):
@@ -125,20 +144,18 @@ def near_vectors(df: DataFrame, *, cosine: float = COSINE, per_list: int = PER_L
             found_l, found_r = [], []
             for at in range(0, len(left), 256):
                 some = left[at : at + 256]
-                may = q.lookup(x[some], k, codes) <= within + err[right] + 1e-6
+                may = q.lookup(x[some], k, codes) <= within + err[right] + 1e-4
                 if left is right:
                     may &= np.arange(at, at + len(some))[:, None] < np.arange(len(right))[None]
-                if may.mean() > 0.1:
-                    hit = np.nonzero(may & (x[some] @ x[right].T >= cosine))
-                else:
-                    a, b = np.nonzero(may)
-                    on = np.einsum("ij,ij->i", x[some[a]], x[right[b]]) >= cosine
-                    hit = a[on], b[on]
-                found_l.append(some[hit[0]])
-                found_r.append(right[hit[1]])
-            a, b = np.concatenate(found_l), np.concatenate(found_r)
-            if not len(a):
+                a, b = np.nonzero(may)
+                for part in range(0, len(a), 65_536):
+                    l_, r_ = some[a[part : part + 65_536]], right[b[part : part + 65_536]]
+                    on = np.cumsum(x[l_] * x[r_], axis=1)[:, -1] >= cosine  # in order of the components, whatever the block holds
+                    found_l.append(l_[on])
+                    found_r.append(r_[on])
+            if not sum(map(len, found_l)):
                 continue
+            a, b = np.concatenate(found_l), np.concatenate(found_r)
             n = np.bincount(a, weights=mult[b], minlength=len(rid)) + np.bincount(b, weights=mult[a], minlength=len(rid))
             root = np.arange(len(rid))
             while True:
@@ -151,12 +168,51 @@ def near_vectors(df: DataFrame, *, cosine: float = COSINE, per_list: int = PER_L
             on = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(rid[on]), pa.array(n[on].astype(np.int64)), pa.array(rid[root[on]])], names=["rid", "n", "root"])
 
-    dealt = written(one.select("label", "rid", "mult", "v").mapInArrow(deal, "label int, dim int, list int, side int, rid long, mult long, v array<double>, code binary, err double"), "lists")
-    links = written(items(dealt, ["label", "dim", "list"], True, block).mapInArrow(compare, "rid long, n long, root long"), "links")
+    asked = written(one.mapInArrow(ask, _ASKED), "asked")
+    links = written(items(asked, ["label", "dim", "list"], True, block).mapInArrow(compare, "rid long, n long, root long"), "links")
     degree = links.groupBy("rid").agg(F.sum("n").alias("n"))
     groups = components(links, "rid", "root").withColumnRenamed("node", "rid")
+    drop(asked)
     known = one.join(degree, "rid", "left").join(groups, "rid", "left").select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rid").alias("group"))
     out = rows.join(known, (rows.label == known.l) & (rows.v == known.w), "left").select("rid", "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group", "rid").alias("group"))
     out = written(out, "vector-groups")
     name = out.groupBy("group").agg(F.min("vec_id").alias("component_id"))
     return out.join(name, "group").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+_INDEX = "label int, rid long, mult long, v array<double>, dim int, list int, code binary, err double, angle double"
+_ASKED = "label int, dim int, list int, side int, rid long, mult long, v array<double>, code binary, err double"
+
+
+def _by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = pc.list_value_length(b.column("v"))
+    for dim in pc.unique(dims).to_pylist():
+        yield dim, b.filter(pc.equal(dims, dim))
+
+
+def _asked(b: pa.RecordBatch, side: int, lists: np.ndarray) -> pa.RecordBatch:
+    n, c = b.num_rows, b.column
+    code = c("code") if side == 0 else pa.nulls(n, pa.binary())
+    columns = [c("label"), c("dim"), pa.array(lists, pa.int32()), pa.array(np.full(n, side, dtype=np.int32)), c("rid"), c("mult"), c("v"), code, c("err")]
+    return pa.RecordBatch.from_arrays(columns, names=["label", "dim", "list", "side", "rid", "mult", "v", "code", "err"])
+
+
+def index_vectors(valid: DataFrame, per_list: int = PER_LIST) -> tuple[DataFrame, dict[int, Quantiser]]:
+    """(distinct vectors of each label with their list and code, written; the quantiser of each length)."""
+    one = written(valid.groupBy("label", "v").agg(F.min("rid").alias("rid"), F.count("*").alias("mult")), "distinct")
+    per = one.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n")).collect()
+    fitted = {m["dim"]: fit_quantiser(one.where(F.size("v") == m["dim"]), m["n"], m["most"], per_list) for m in per}
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, b in (part for whole in batches for part in _by_length(whole)):
+            x = unit(matrix(b.column("v")))
+            own = fitted[dim].own(x)
+            codes, err, angle = fitted[dim].encode(x, own)
+            columns = [*b.columns, pa.array([dim] * len(x), pa.int32()), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array(angle)]
+            yield pa.RecordBatch.from_arrays(columns, names=["label", "rid", "mult", "v", "dim", "list", "code", "err", "angle"])
+
+    out = written(one.select("label", "rid", "mult", "v").mapInArrow(encode, _INDEX), "index")
+    drop(one)
+    for r in out.groupBy("dim", "list").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect():  # one row per list
+        fitted[r["dim"]].angles[r["list"]] = r["low"], r["high"]
+    return out, fitted

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import with_row_id, written
+from rasterloom.llm.shared import bounded, drop, with_row_id, written
 
-#: Vectors that models are fitted on at most; lists at most; vectors of one side of an item, about.
-SAMPLE, LISTS, BLOCK = 16_384, 4_096, 1_024
+#: Vectors that the first level of lists is fitted on, lists of that level, vectors to fit a list of the second level on, vectors of one side of an item, about.
+SAMPLE, FAN, PER_CENTROID, BLOCK = 16_384, 256, 64, 1_024
+#: Distances that one step of a task holds at a time.
+STEP = 4_000_000
 
 
 def numbered(df: DataFrame, *more: str) -> DataFrame:
@@ -33,6 +36,21 @@ def sample_matrix(distinct: DataFrame, n: int = SAMPLE) -> np.ndarray:
     return np.asarray(rows.flatten()).reshape(len(rows), -1)
 
 
+def list_count(n: int, per_list: int) -> int:
+    """Lists for ``n`` vectors: ``per_list`` to a list, or as many as there are lists where that is more.
+
+    So the centroids that tasks hold number sqrt(n) at most, and so does a
+    list's length once n exceeds the square of ``per_list``.
+    """
+    return max(1, -(-n // max(per_list, math.isqrt(max(n, 1)))))
+
+
+def steps(n: int, width: int) -> Iterator[slice]:
+    """Slices of ``n`` rows whose distances to ``width`` centroids fit one step."""
+    size = max(1, STEP // max(1, width))
+    return (slice(a, min(n, a + size)) for a in range(0, n, size))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a matrix of doubles."""
     flat = np.asarray(column.flatten(), dtype=np.float64)
@@ -43,21 +61,84 @@ def distances2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None])
 
 
-def k_means(x: np.ndarray, k: int, rounds: int = 8, balance: float = 0.0, seed: int = 7) -> np.ndarray:
-    """Centroids; ``balance`` charges a full cluster for its size, in units of the mean distance."""
+def k_means(x: np.ndarray, k: int, rounds: int = 8, balanced: bool = False, seed: int = 7) -> np.ndarray:
+    """``k`` centroids. If ``balanced``, with one more coordinate that evens out the lists.
+
+    A vector has 0 there and a crowded list the square root of its fee, so the
+    nearest centroid of the longer vectors is the one of least distance² + fee.
+    Lists that stay nearly empty first move to a member of a crowded one.
+    """
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
-    c = x[rng.choice(len(x), k, replace=False)].copy() if len(x) else np.zeros((1, x.shape[1]))
-    fee = np.zeros(k)
-    for _ in range(rounds if len(x) else 0):
-        d = distances2(x, c)
-        near = np.argmin(d + fee, axis=1)
+    if not len(x):
+        return np.zeros((1, x.shape[1] + balanced))
+    c = x[rng.choice(len(x), k, replace=False)].copy()
+    mean = len(x) / k
+    for turn in range(rounds + 4 * balanced):
+        near = np.concatenate([distances2(x[s], c).argmin(axis=1) for s in steps(len(x), k)])
         n = np.bincount(near, minlength=k)
-        fee = fee + balance * d[np.arange(len(x)), near].mean() * (n / (len(x) / k) - 1) * 0.5
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
-    return c
+        if balanced and turn < rounds:
+            for poor, rich in zip(np.flatnonzero(n < mean / 4), np.argsort(-n, kind="stable"), strict=False):
+                if n[rich] > 1.75 * mean:
+                    c[poor] = x[rng.choice(np.flatnonzero(near == rich))]
+    return np.column_stack([c, np.sqrt(_fees(x, c))]) if balanced else c
+
+
+def _fees(x: np.ndarray, c: np.ndarray, turns: int = 80) -> np.ndarray:
+    """What each list charges on top of distance², so that all get about as many of ``x``; steps shrink."""
+    k, some = len(c), x[: PER_CENTROID * len(c)]
+    d = np.concatenate([distances2(some[s], c).astype(np.float32) for s in steps(len(some), k)])
+    fee, mean, step = np.zeros(k, dtype=np.float32), len(some) / k, 0.3 * float(d.min(axis=1).mean())
+    least, best = math.inf, fee
+    for _ in range(turns):
+        n = np.bincount((d + fee).argmin(axis=1), minlength=k)
+        if n.max() < least:
+            least, best = n.max(), fee
+        fee = fee + step * np.clip(n / mean - 1, -1, 1).astype(np.float32)
+        fee, step = fee - fee.min(), 0.93 * step
+    return best.astype(np.float64)
+
+
+def fit_lists(rows: DataFrame, n: int, lists: int, lift: Callable[[np.ndarray], np.ndarray] = lambda x: x, balanced: bool = False, fan: int = FAN) -> np.ndarray:
+    """Centroids of about ``lists`` lists for the ``n`` written ``rows`` (rid, v) of one length, ``lift`` applied to the vectors.
+
+    Up to ``fan`` lists are fitted by the driver on at most 16,384 vectors. More
+    are fitted in two levels: ``fan`` cells by the driver, then each cell's lists
+    in a task of its own, on ``PER_CENTROID`` vectors to a list, picked by hash;
+    balanced cells get lists by their size, without fees of their own.
+    """
+    top = k_means(lift(sample_matrix(rows)), min(lists, fan), balanced=balanced)
+    if lists <= fan:
+        return top
+    width = top.shape[1] - balanced
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = lift(matrix(b.column("v")))
+            x = np.column_stack([x, np.zeros(len(x))]) if balanced else x
+            near = [distances2(x[s], top).argmin(axis=1) for s in steps(len(x), len(top))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*near, np.zeros(0, dtype=int)]), pa.int32()), b.column("rid"), b.column("v")], names=["cell", "rid", "v"])
+
+    share = min(1.0, PER_CENTROID * lists / n)
+    picked = rows.select("rid", "v").where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
+    picked = written(picked.mapInArrow(cell, "cell int, rid long, v array<double>"), "fit-sample")
+    wanted = lists / max(1, picked.count())
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (k,), t in by_item(batches, ["cell"]):
+            x = lift(matrix(t.column("v").combine_chunks()))
+            c = k_means(x, max(1, round(len(x) * wanted)), balanced=balanced)
+            if balanced:
+                c[:, width] = 0  # fees of different cells do not compare
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(c), pa.int32()), pa.array(c.tolist(), pa.list_(pa.float64()))], names=["cell", "c"])
+
+    dealt = picked.repartition("cell").sortWithinPartitions("cell", "rid")
+    got = sorted(tuple(r) for r in dealt.mapInArrow(split, "cell int, c array<double>").collect())  # about ``lists`` rows
+    drop(picked)
+    return np.array([c for _, c in got])
 
 
 def items(rows: DataFrame, cell: list[str], same: bool, block: int = BLOCK) -> DataFrame:
@@ -66,10 +147,11 @@ def items(rows: DataFrame, cell: list[str], same: bool, block: int = BLOCK) -> D
     Every member of a cell meets every query of it in exactly one item and, if
     ``same``, every other member too. A side of a cell is cut into blocks of
     about ``block`` rows, so that a hot cell becomes many items and no item is
-    large. Adds item (kind, i, j) and place (0 or 1).
+    large. ``rows`` are written rows, which are read twice. Adds item (kind, i, j) and place (0 or 1).
     """
     n = rows.groupBy(*cell).agg(F.sum(1 - F.col("side")).alias("m"), F.sum("side").alias("q"))
-    n = n.select(*cell, F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int").alias("mb"), F.ceil(F.col("q") / block).cast("int").alias("qb"))
+    n = written(n.select(*cell, F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int").alias("mb"), F.ceil(F.col("q") / block).cast("int").alias("qb")), "cells")
+    n = bounded(n)
     d = rows.join(n, cell).withColumn("b", F.pmod(F.xxhash64("rid"), F.when(F.col("side") == 0, F.col("mb")).otherwise(F.greatest("qb", F.lit(1)))).cast("int"))
     met = "transform(if(qb = 0, array(), sequence(0, qb - 1)), o -> named_struct('kind', 1, 'i', b, 'j', o, 'place', 0))"
     own = "transform(sequence(0, mb - 1), o -> named_struct('kind', 0, 'i', least(b, o), 'j', greatest(b, o), 'place', if(b <= o, 0, 1)))"
