@@ -107,8 +107,7 @@ def fit_lists(rows: DataFrame, n: int, lists: int, lift: Callable[[np.ndarray],
 
     Up to ``fan`` lists are fitted by the driver on at most 16,384 vectors. More
     are fitted in two levels: ``fan`` cells by the driver, then each cell's lists
-    in a task of its own, on ``PER_CENTROID`` vectors to a list, picked by hash;
-    balanced cells get lists by their size, without fees of their own.
+    in a task of its own, on ``PER_CENTROID`` vectors to a list, picked by hash.
     """
     top = k_means(lift(sample_matrix(rows)), min(lists, fan), balanced=balanced)
     if lists <= fan:
@@ -131,14 +130,43 @@ def fit_lists(rows: DataFrame, n: int, lists: int, lift: Callable[[np.ndarray],
         for (k,), t in by_item(batches, ["cell"]):
             x = lift(matrix(t.column("v").combine_chunks()))
             c = k_means(x, max(1, round(len(x) * wanted)), balanced=balanced)
-            if balanced:
-                c[:, width] = 0  # fees of different cells do not compare
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(c), pa.int32()), pa.array(c.tolist(), pa.list_(pa.float64()))], names=["cell", "c"])
 
     dealt = picked.repartition("cell").sortWithinPartitions("cell", "rid")
     got = sorted(tuple(r) for r in dealt.mapInArrow(split, "cell int, c array<double>").collect())  # about ``lists`` rows
+    c = np.array([c for _, c in got])
+    if balanced:
+        c[:, width] = np.sqrt(_shared_fees(picked, lift, c[:, :width], picked.count() / len(c)))
     drop(picked)
-    return np.array([c for _, c in got])
+    return c
+
+
+def _shared_fees(picked: DataFrame, lift: Callable, c: np.ndarray, mean: float, turns: int = 20) -> np.ndarray:
+    """:func:`_fees` over rows (v) that no single task holds: each turn is a count per list."""
+    fee, step, least, best = np.zeros(len(c)), None, math.inf, np.zeros(len(c))
+    for _ in range(turns):
+
+        def near(batches: Iterator[pa.RecordBatch], fee: np.ndarray = fee) -> Iterator[pa.RecordBatch]:
+            n, total = np.zeros(len(c), dtype=np.int64), np.zeros(len(c))
+            for b in batches:
+                x = lift(matrix(b.column("v")))
+                for s in steps(len(x), len(c)):
+                    d = distances2(x[s], c)
+                    at = (d + fee).argmin(axis=1)
+                    n += np.bincount(at, minlength=len(c))
+                    total += np.bincount(at, weights=d.min(axis=1), minlength=len(c))
+            on = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(n[on]), pa.array(total[on])], names=["list", "n", "d"])
+
+        n = np.zeros(len(c))
+        got = picked.select("v").mapInArrow(near, "list int, n long, d double").groupBy("list").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()  # one row per list
+        n[[r["list"] for r in got]] = [r["n"] for r in got]
+        step = 0.2 * sum(r["d"] for r in got) / max(1, n.sum()) if step is None else 0.75 * step
+        if n.max() < least:
+            least, best = n.max(), fee
+        fee = fee + step * np.clip(n / mean - 1, -1, 1)
+        fee = fee - fee.min()
+    return best
 
 
 def items(rows: DataFrame, cell: list[str], same: bool, block: int = BLOCK) -> DataFrame:
