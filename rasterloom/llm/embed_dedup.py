@@ -27,7 +27,7 @@ from rasterloom.llm.vectors import BLOCK, by_item, distances2, fit_lists, items,
 
 COSINE = 0.93
 #: Vectors of a label to a list, about; components to a subspace, about, and codes of each.
-PER_LIST, COMPONENTS, CODES = 128, 4, 256
+PER_LIST, COMPONENTS, CODES = 64, 4, 256
 SLACK = 1e-7
 
 
@@ -47,6 +47,12 @@ class Quantiser:
         size = np.sqrt(self.square)
         self.directions = self.lists / np.maximum(size, 1e-12)[:, None]
         self.angles = np.tile([0.0, np.pi], (len(self.lists), 1))
+        self.group = np.zeros(len(self.lists), dtype=int)
+
+    def join_groups(self, lists: int) -> None:
+        """Neighbouring lists, about ``lists`` of them, travel together; a vector is sent to a group once."""
+        middles = k_means(self.lists, -(-len(self.lists) // lists))
+        self.group = distances2(self.lists, middles).argmin(axis=1)
 
     def own(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([*(distances2(x[s], self.lists).argmin(axis=1) for s in steps(len(x), len(self.lists))), np.zeros(0, dtype=int)])
@@ -62,8 +68,8 @@ class Quantiser:
         angle = np.arccos(np.clip((x * self.directions[own]).sum(axis=1), -1, 1))
         return codes, np.sqrt(((rest - near) ** 2).sum(axis=1)), angle
 
-    def probes(self, x: np.ndarray, own: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row, list): other lists that could hold a vector of ``cosine`` or more to the row's."""
+    def probes(self, x: np.ndarray, own: np.ndarray, cosine: float) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Per slice of rows, (row, list): other lists that could hold a vector of ``cosine`` or more to the row's."""
         turn = float(np.arccos(np.clip(cosine, -1, 1)))
         for s in steps(len(x), len(self.lists)):
             mine = own[s]
@@ -77,7 +83,7 @@ class Quantiser:
             may &= most >= (self.square[None] - self.square[mine][:, None]) / 2 - SLACK
             may[np.arange(len(mine)), mine] = False
             a, b = np.nonzero(may)
-            yield a + s.start, b
+            yield s, a + s.start, b
 
     def lookup(self, x: np.ndarray, k: int, codes: np.ndarray) -> np.ndarray:
         """Distances from ``x`` to what ``codes`` of list ``k`` stand for, by tables."""
@@ -96,6 +102,7 @@ def fit_quantiser(rows: DataFrame, n: int, most: int, per_list: int = PER_LIST)
     rest = x - lists[q.own(x)] if len(x) else x
     q.cuts = np.linspace(0, x.shape[1], -(-x.shape[1] // COMPONENTS) + 1).astype(int).tolist()
     q.books = [k_means(rest[:, a:b], CODES, rounds=5) for a, b in zip(q.cuts, q.cuts[1:], strict=False)]
+    q.join_groups(max(1, BLOCK * len(lists) // most))
     return q
 
 
@@ -123,36 +130,26 @@ def near_vectors(df: DataFrame, *, cosine: float = COSINE, per_list: int = PER_L
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, b in (part for whole in batches for part in _by_length(whole)):
-            x, own = unit(matrix(b.column("v"))), b.column("list").to_numpy()
-            yield _asked(b, 0, own)
-            for who, where in fitted[dim].probes(x, own, cosine):
-                on = where > own[who]  # pairs of two lists meet in the later one
-                for at in range(0, int(on.sum()), 10_000):
-                    yield _asked(b.take(pa.array(who[on][at : at + 10_000])), 1, where[on][at : at + 10_000])
+            x, own, q = unit(matrix(b.column("v"))), b.column("list").to_numpy(), fitted[dim]
+            for part, who, where in q.probes(x, own, cosine):
+                later = where > own[who]  # pairs of two lists meet in the later one
+                yield from _asked(b, q.group, own, who[later], where[later], part)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, dim, k, kind, i, j), t in by_item(batches, ["label", "dim", "list", "kind", "i", "j"]):
-            q = fitted[dim]
-            place = t.column("place").to_numpy()
+        for (_, dim, _, kind, i, j), t in by_item(batches, ["label", "dim", "group", "kind", "i", "j"]):
+            place, lists, err = (t.column(c).to_numpy() for c in ("place", "list", "err"))
             x, rid, mult = unit(matrix(t.column("v").combine_chunks())), t.column("rid").to_numpy(), t.column("mult").to_numpy()
-            err, code = t.column("err").to_numpy(), t.column("code").to_pylist()
-            right = np.flatnonzero(place == 0)
-            left = np.flatnonzero(place == 1) if kind == 1 or i != j else right
-            if not len(left) or not len(right):
-                continue
-            codes = np.frombuffer(b"".join(code[p] for p in right), dtype=np.uint8).reshape(len(right), -1)
-            found_l, found_r = [], []
-            for at in range(0, len(left), 256):
-                some = left[at : at + 256]
-                may = q.lookup(x[some], k, codes) <= within + err[right] + 1e-4
-                if left is right:
-                    may &= np.arange(at, at + len(some))[:, None] < np.arange(len(right))[None]
-                a, b = np.nonzero(may)
-                for part in range(0, len(a), 65_536):
-                    l_, r_ = some[a[part : part + 65_536]], right[b[part : part + 65_536]]
-                    on = np.cumsum(x[l_] * x[r_], axis=1)[:, -1] >= cosine  # in order of the components, whatever the block holds
-                    found_l.append(l_[on])
-                    found_r.append(r_[on])
+            asks = t.column("asks").combine_chunks()
+            rows = _Rows(x, lists, err, t.column("code").to_pylist(), np.repeat(np.arange(len(x)), pc.list_value_length(asks).to_numpy()), asks.flatten().to_numpy())
+            one_side, other = np.flatnonzero(place == 1), np.flatnonzero(place == 0)
+            if kind == 1:
+                turns = [(one_side, other, False)]
+            elif i == j:
+                turns = [(other, other, True)]
+            else:
+                turns = [(one_side, other, True), (other, one_side, False)]
+            found = [pair for left, right, same in turns for pair in rows.links(fitted[dim], left, right, same, within, cosine)]
+            found_l, found_r = [f[0] for f in found], [f[1] for f in found]
             if not sum(map(len, found_l)):
                 continue
             a, b = np.concatenate(found_l), np.concatenate(found_r)
@@ -169,7 +166,7 @@ def near_vectors(df: DataFrame, *, cosine: float = COSINE, per_list: int = PER_L
             yield pa.RecordBatch.from_arrays([pa.array(rid[on]), pa.array(n[on].astype(np.int64)), pa.array(rid[root[on]])], names=["rid", "n", "root"])
 
     asked = written(one.mapInArrow(ask, _ASKED), "asked")
-    links = written(items(asked, ["label", "dim", "list"], True, block).mapInArrow(compare, "rid long, n long, root long"), "links")
+    links = written(items(asked, ["label", "dim", "group"], True, block).mapInArrow(compare, "rid long, n long, root long"), "links")
     degree = links.groupBy("rid").agg(F.sum("n").alias("n"))
     groups = components(links, "rid", "root").withColumnRenamed("node", "rid")
     drop(asked)
@@ -181,7 +178,41 @@ def near_vectors(df: DataFrame, *, cosine: float = COSINE, per_list: int = PER_L
 
 
 _INDEX = "label int, rid long, mult long, v array<double>, dim int, list int, code binary, err double, angle double"
-_ASKED = "label int, dim int, list int, side int, rid long, mult long, v array<double>, code binary, err double"
+_ASKED = "label int, dim int, group int, side int, rid long, mult long, v array<double>, list int, code binary, err double, asks array<int>"
+
+
+@dataclass
+class _Rows:
+    """The rows of an item; row ``ask_row[n]`` asks list ``ask_list[n]``."""
+
+    x: np.ndarray
+    lists: np.ndarray
+    err: np.ndarray
+    code: list
+    ask_row: np.ndarray
+    ask_list: np.ndarray
+
+    def links(self, q: Quantiser, left: np.ndarray, right: np.ndarray, same: bool, within: float, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a row of ``left`` with one of ``right`` whose list it asks or, if ``same``, shares."""
+        on_left = np.zeros(len(self.x), dtype=bool)
+        on_left[left] = True
+        for k in np.unique(self.lists[right]):
+            these = right[self.lists[right] == k]
+            codes = np.frombuffer(b"".join(self.code[p] for p in these), dtype=np.uint8).reshape(len(these), -1)
+            asking = self.ask_row[self.ask_list == k]
+            asking = asking[on_left[asking]]
+            if same:
+                asking = np.concatenate([left[self.lists[left] == k], asking])
+            for at in range(0, len(asking), 256):
+                some = asking[at : at + 256]
+                may = q.lookup(self.x[some], k, codes) <= within + self.err[these] + 1e-4
+                if left is right:  # each pair of a list once
+                    may &= (self.lists[some] != k)[:, None] | (some[:, None] < these[None])
+                a, b = np.nonzero(may)
+                for part in range(0, len(a), 65_536):
+                    l_, r_ = some[a[part : part + 65_536]], these[b[part : part + 65_536]]
+                    on = np.cumsum(self.x[l_] * self.x[r_], axis=1)[:, -1] >= cosine  # in order of the components, whatever the block holds
+                    yield l_[on], r_[on]
 
 
 def _by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -190,11 +221,24 @@ def _by_length(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield dim, b.filter(pc.equal(dims, dim))
 
 
-def _asked(b: pa.RecordBatch, side: int, lists: np.ndarray) -> pa.RecordBatch:
-    n, c = b.num_rows, b.column
-    code = c("code") if side == 0 else pa.nulls(n, pa.binary())
-    columns = [c("label"), c("dim"), pa.array(lists, pa.int32()), pa.array(np.full(n, side, dtype=np.int32)), c("rid"), c("mult"), c("v"), code, c("err")]
-    return pa.RecordBatch.from_arrays(columns, names=["label", "dim", "list", "side", "rid", "mult", "v", "code", "err"])
+def _asked(b: pa.RecordBatch, group: np.ndarray, own: np.ndarray, who: np.ndarray, where: np.ndarray, part: slice) -> Iterator[pa.RecordBatch]:
+    """Rows ``part`` of ``b`` as members of their group, and once more for each other group in which they ask lists."""
+    rows = np.arange(part.start, part.stop)
+    key = np.concatenate([rows * len(group) + group[own[rows]], who * len(group) + group[where]])
+    asks = np.concatenate([np.full(len(rows), -1), where])
+    order = np.lexsort((asks, key))
+    key, asks = key[order], asks[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
+    row, to = key[new] // len(group), key[new] % len(group)
+    member = to == group[own[row]]
+    n = np.bincount(np.cumsum(new)[asks >= 0] - 1, minlength=len(row))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(asks[asks >= 0], pa.int32()))
+    for at in range(0, len(row), 10_000):
+        s = slice(at, at + 10_000)
+        t = b.take(pa.array(row[s]))
+        c = t.column
+        columns = [c("label"), c("dim"), pa.array(to[s], pa.int32()), pa.array(np.where(member[s], 0, 1), pa.int32()), c("rid"), c("mult"), c("v"), c("list"), c("code"), c("err"), lists.slice(at, t.num_rows)]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "dim", "group", "side", "rid", "mult", "v", "list", "code", "err", "asks"])
 
 
 def index_vectors(valid: DataFrame, per_list: int = PER_LIST) -> tuple[DataFrame, dict[int, Quantiser]]:

@@ -37,12 +37,11 @@ def sample_matrix(distinct: DataFrame, n: int = SAMPLE) -> np.ndarray:
 
 
 def list_count(n: int, per_list: int) -> int:
-    """Lists for ``n`` vectors: ``per_list`` to a list, or as many as there are lists where that is more.
+    """Lists for ``n`` vectors: ``per_list`` to a list, or half the square root of ``n`` where that is more.
 
-    So the centroids that tasks hold number sqrt(n) at most, and so does a
-    list's length once n exceeds the square of ``per_list``.
+    So tasks hold at most 2 sqrt(n) centroids, and lists grow no faster than that.
     """
-    return max(1, -(-n // max(per_list, math.isqrt(max(n, 1)))))
+    return max(1, -(-n // max(per_list, math.isqrt(max(n, 1)) // 2)))
 
 
 def steps(n: int, width: int) -> Iterator[slice]:
