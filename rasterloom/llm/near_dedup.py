@@ -19,15 +19,15 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import Generations, components, fresh, with_row_id, written
+from rasterloom.llm.shared import Generations, bounded, components, drop, fresh, heavy_join, with_row_id, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Documents that one verifying task compares at a time come in blocks of at most about this many.
-BLOCK = 1024
+#: Documents that one verifying task compares at a time come in blocks of about so many at most, and of about so many characters.
+BLOCK, BLOCK_CHARS = 1024, 16_000_000
 _PUNCTUATION = string.punctuation + "«»„“”‘’…–—¿¡"
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,7 +126,7 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("k", pa.binary()), ("h", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("k", pa.binary()), ("h", pa.binary()), ("chars", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
             pick = np.array([at_unique[h] for h in hs if h is not None], dtype=np.int64)
             n = np.cumsum([0] + [0 if h is None else bands for h in hs])
             lists = pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(rows_of[pick].ravel() if len(pick) else [], pa.int64()), mask=pa.array([h is None for h in hs]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(hs, pa.binary()), lists], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(hs, pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), lists], schema=_SKETCH)
 
 
 def links_in_block(sets: list[tuple[np.ndarray, np.ndarray]], least: float, known: list[int] | None = None) -> list[tuple[int, int]]:
@@ -195,53 +195,109 @@ def links_in_block(sets: list[tuple[np.ndarray, np.ndarray]], least: float, know
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by item; each item's documents are compared with one another."""
+def _likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard of two sets of (sorted elements, counts)."""
+    total = float(a[1].sum() + b[1].sum())
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    both = float(np.minimum(a[1][at], b[1])[a[0][at] == b[0]].sum())
+    return both / (total - both)
+
+
+_LINKS = "a long, b long"
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+
+def _verify_stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (leader, block, rid, text) sorted so that the leader comes first; it is compared with each other row, and only its shingles are held."""
+    key, center, links = None, None, []
+    for batch in batches:
+        for lead, block, r, t in zip(*(batch.column(n).to_pylist() for n in ("leader", "block", "rid", "text")), strict=True):
+            mine = shingles(word_hashes(t or ""))
+            if (lead, block) != key:
+                key, center = (lead, block), mine
+            elif _likeness(center, mine) >= least - 1e-12:
+                links.append((lead, r))
+        if links:
+            yield _link_batch(links)
+            links = []
+
+
+def _verify_buckets(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, i, j, rid, v, text) come sorted by item; each item's documents are compared with one another."""
     key, held = None, {}
 
     def compare() -> pa.RecordBatch | None:
-        if len(held) < 2 or len({v for _, v in held.values()}) < 2:
+        if len({v for _, v in held.values()}) < 2:
             return None
         ids = list(held)
-        links = links_in_block([shingles(word_hashes(held[r][0])) for r in ids], least, [held[r][1] for r in ids])
-        return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], pa.int64()), pa.array([ids[b] for _, b in links], pa.int64())], names=["a", "b"])
+        links = links_in_block([held[r][0] for r in ids], least, [held[r][1] for r in ids])
+        return _link_batch([(ids[a], ids[b]) for a, b in links])
 
     for batch in batches:
-        for c, i, j, r, v, t in zip(*(batch.column(n).to_pylist() for n in ("component", "i", "j", "rid", "v", "text")), strict=True):
+        for c, i, j, r, v, t in zip(*(batch.column(n).to_pylist() for n in ("bucket", "i", "j", "rid", "v", "text")), strict=True):
             if (c, i, j) != key:
                 if (out := compare()) is not None:
                     yield out
                 key, held = (c, i, j), {}
-            held[r] = t, v
+            held[r] = shingles(word_hashes(t or "")), v
     if (out := compare()) is not None:
         yield out
 
 
-def _links(items: DataFrame, least: float) -> DataFrame:
-    """Links found in rows (component, i, j, rid, v, text), written."""
-    dealt = items.select("component", "i", "j", "rid", "v", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rid")
-    return written(dealt.mapInArrow(lambda it: _verify(it, least), "a long, b long"), "links")
+def _blocks(n: str, chars: str, block: int) -> Column:
+    """Blocks for ``n`` texts of ``chars`` characters: about ``block`` texts and ``BLOCK_CHARS`` characters to each."""
+    return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(chars) / BLOCK_CHARS), F.lit(1)).cast("int")
 
 
-def _far_links(big: DataFrame, links: DataFrame, least: float, block: int) -> DataFrame:
-    """Links that blocks of large groups could not see on their own.
+def _star_links(shared: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
+    """Links of each bucket's members with its leader (the smallest of them), each pair compared once.
 
-    After the blocks have been joined through a shared anchor, a group of near
-    copies is mostly one class. Only documents outside a group's largest class
-    meet all others, so the work is (documents outside) x (documents), not the
-    square of the group.
+    ``shared`` has (bucket, leader, rid), ``texts`` (rid, text, chars). A leader
+    of many members is sent to several blocks of them.
+    """
+    pairs = written(shared.where("rid != leader").select("leader", "rid").distinct(), "star-pairs")
+    stars = pairs.groupBy("leader").agg(F.count("*").alias("n"))
+    stars = bounded(written(stars.select("leader", F.ceil(F.col("n") / block).cast("int").alias("nb")), "stars"))
+    members = pairs.join(stars, "leader").select("leader", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int").alias("block"), "rid")
+    leaders = stars.select("leader", F.explode(F.expr("sequence(0, nb - 1)")).alias("block"), F.col("leader").alias("rid"))
+    dealt = members.union(leaders).join(texts.select("rid", "text"), "rid").select("leader", "block", "rid", "text")
+    dealt = dealt.repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("rid") != F.col("leader"), "rid")
+    return written(dealt.mapInArrow(lambda it: _verify_stars(it, least), _LINKS), "links")
+
+
+def _bucket_links(shared: DataFrame, texts: DataFrame, links: DataFrame, least: float, block: int) -> DataFrame:
+    """Links within the buckets whose members ``links`` have not made one class yet.
+
+    Buckets of the same members count once. In a bucket, documents outside its
+    largest class meet all others, block against block; nothing else needs
+    comparing. So the work is (documents outside) x (documents) of a bucket that
+    holds unlike documents, and none for the many buckets of a group of copies.
     """
     found = components(links).select(F.col("node").alias("rid"), F.col("component").alias("found"))
-    d = written(big.select("component", "rid", "text").join(found, "rid", "left").withColumn("v", F.coalesce("found", "rid")).drop("found"), "large")
-    per = d.groupBy("component", "v").agg(F.count("*").alias("n"))
-    main = per.groupBy("component").agg(F.max_by("v", F.struct("n", "v")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n")).where("n > m")
-    main = main.select("component", "main", F.ceil(F.col("m") / block).cast("int").alias("mb"), F.ceil((F.col("n") - F.col("m")) / block).cast("int").alias("rb"))
-    d = d.join(main, "component").withColumn("own", F.pmod(F.xxhash64("rid"), F.expr("if(v = main, mb, rb)")).cast("int"))
-    # Blocks 0 .. rb - 1 are of the rest, rb .. rb + mb - 1 of the largest class.
+    in_class = written(shared.join(found, "rid", "left").select("bucket", "rid", F.coalesce("found", "rid").alias("v")), "bucket-classes")
+    open_ = in_class.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("who"), F.min("v").alias("low"), F.max("v").alias("high"))
+    open_ = written(open_.where("low != high").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "open")
+    d = written(heavy_join(in_class, open_, "bucket", "n").drop("n").join(texts.select("rid", "chars"), "rid"), "open-buckets")
+    drop(in_class)
+    per = d.groupBy("bucket", "v").agg(F.count("*").alias("n"), F.sum("chars").alias("c"))
+    main = per.groupBy("bucket").agg(F.max_by("v", F.struct("n", "v")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n"), F.sum("c").alias("c"), F.max_by("c", F.struct("n", "v")).alias("mc"))
+    main = main.withColumn("rn", F.col("n") - F.col("m")).withColumn("rc", F.col("c") - F.col("mc"))
+    main = written(main.select("bucket", "main", _blocks("n", "c", block).alias("nb"), _blocks("m", "mc", block).alias("mb"), _blocks("rn", "rc", block).alias("rb")), "open-sizes")
+    d = d.join(bounded(main), "bucket").withColumn("own", F.pmod(F.xxhash64("rid"), F.expr("if(v = main, mb, rb)")).cast("int"))
+    # A bucket of one block is one item. Else blocks 0 .. rb - 1 are of the rest, rb .. rb + mb - 1 of the largest class.
     of_main = "transform(sequence(0, rb - 1), o -> named_struct('i', o, 'j', rb + own))"
     of_rest = "concat(transform(sequence(0, rb - 1), o -> named_struct('i', least(o, own), 'j', greatest(o, own))), transform(sequence(0, mb - 1), o -> named_struct('i', own, 'j', rb + o)))"
-    d = d.withColumn("it", F.explode(F.expr(f"if(v = main, {of_main}, {of_rest})")))
-    return _links(d.select("component", "it.i", "it.j", "rid", "v", "text"), least)
+    d = d.withColumn("it", F.explode(F.expr(f"if(nb = 1, array(named_struct('i', 0, 'j', 0)), if(v = main, {of_main}, {of_rest}))")))
+    dealt = d.select("bucket", "it.i", "it.j", "rid", "v").join(texts.select("rid", "text"), "rid")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rid")
+    return written(dealt.mapInArrow(lambda it: _verify_buckets(it, least), _LINKS), "links")
+
+
+def _key(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -258,62 +314,68 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int =
     columns are ignored.
 
     Texts of equal words are one representative from the start, so a group of
-    exact copies is a few rows. Of a bucket only links to its smallest member
-    are made; the components of these are what the exact check compares. Those
-    of at most ``block`` texts are compared in one task each. Larger ones are
-    compared within blocks that share an anchor, and then only documents outside
-    the largest class so found meet all others, block against block. Tasks
-    return links that join parts, never all pairs.
+    exact copies is a few rows. Every pair that shares a bucket is compared or
+    connected already: first each member of a bucket with the bucket's smallest
+    one, then, in buckets that this leaves in several classes, the documents
+    outside the largest class with all others. Only similar pairs are linked;
+    what merely collides is never joined. Tasks return links that join parts,
+    never all pairs. Texts travel by representative that shares a bucket, found
+    by a broadcast of their keys up to ``BROADCAST_ROWS`` of them, by a shuffle
+    join beyond.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    sketch = base.mapInArrow(lambda it: _sketch(it, bands, rows), "doc_id long, k binary, h binary, bands array<long>")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", _key())
+    sketch = base.mapInArrow(lambda it: _sketch(it, bands, rows), "doc_id long, k binary, h binary, chars long, bands array<long>")
     sketch = written(with_row_id(sketch), "sketch")
-    first = sketch.where("h IS NOT NULL").groupBy("h").agg(F.min("rid").alias("rep"))
-    rows_ = written(sketch.select("rid", "doc_id", "k", "h").join(first, "h", "left").select("rid", "doc_id", "k", F.coalesce("rep", "rid").alias("rep")), "copies")
-
-    reps = sketch.join(first, (sketch.rid == first.rep) & (sketch.h == first.h)).select("rid", "doc_id", "k", "bands")
-    banded = reps.select("rid", F.explode("bands").alias("bucket"))
-    leader = banded.groupBy("bucket").agg(F.min("rid").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
-    star = banded.join(leader, "bucket").where("rid != leader").select("rid", "leader").distinct()
-    may = components(star, "rid", "leader")
-
-    cand = reps.select("rid", "doc_id", "k").join(may.withColumnRenamed("node", "rid"), "rid").select("rid", F.col("doc_id").alias("d"), F.col("k").alias("kk"), "component")
-    sizes = may.groupBy("component").agg(F.count("*").alias("n"))
-    cand = cand.join(sizes, "component").withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
-    cand = cand.withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
-    texts = base.join(cand, (base.k == cand.kk) & base.doc_id.eqNullSafe(cand.d)).select("rid", "component", "nb", "blk", "text")
-    if sizes.where(F.col("n") > block).limit(1).count():
-        texts = written(texts, "candidates")
-        big = texts.where("nb > 1").dropDuplicates(["rid"])
-        anchor = sizes.where(F.col("n") > block).join(may, "component").groupBy("component").agg(F.min("node").alias("rid"))
-        shared = big.join(anchor, ["component", "rid"]).withColumn("blk", F.explode(F.expr("sequence(0, nb - 1)")))
-        near = texts.union(shared.select(*texts.columns))
-    else:
-        big, near = None, texts
-    links = _links(near.select("component", F.col("blk").alias("i"), F.lit(0).alias("j"), "rid", F.col("rid").alias("v"), "text"), least)
-    if big is not None:
-        links = links.union(_far_links(big, links, least, block))
+    first = sketch.where("h IS NOT NULL").groupBy("h").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
+    first = written(first, "firsts")
+    again = first.where("copies > 1")  # unique texts stand for themselves
+    rows_ = heavy_join(sketch.select("rid", "doc_id", "k", "h"), again, "h", "copies", "left")
+    rows_ = written(rows_.select("rid", "doc_id", "k", F.coalesce("rep", "rid").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "copies")
+
+    reps = sketch.join(first.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", F.explode("bands").alias("bucket"))
+    leader = written(reps.groupBy("bucket").agg(F.min("rid").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
+    shared = written(heavy_join(reps, leader, "bucket", "n").select("bucket", "leader", "rid"), "shared-buckets")
+    wanted_ = written(shared.select("rid").distinct().join(sketch.select("rid", "doc_id", "k", "chars"), "rid"), "wanted")
+    wanted = wanted_.withColumnsRenamed({"doc_id": "d", "k": "kk"})
+    texts = base.join(bounded(wanted), (base.k == F.col("kk")) & base.doc_id.eqNullSafe(F.col("d"))).select("rid", "text", "chars")
+    texts_ = written(texts, "candidates")  # repeated rows give a rid its text more than once
+    texts = texts_ if texts_.count() == wanted.count() else texts_.dropDuplicates(["rid"])
+    links = _star_links(shared, texts, least, block)
+    links = links.union(_bucket_links(shared, texts, links, least, block))
 
     classes = components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "class")
-    joined = rows_.join(classes, "rep", "left").select("rid", "doc_id", "k", F.coalesce("class", "rep").alias("class"))
-    firsts = joined.groupBy("class").agg(F.min(F.struct("doc_id", "rid")).alias("f"), F.count("*").alias("class_size"))
-    out = joined.join(firsts, "class")
-    return out.select("doc_id", F.col("f.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("f.rid")).alias("kept"), "k")
+    classes = written(classes.join(first.select("rep", F.col("copies").alias("n")), "rep"), "linked")  # one row per representative with a link
+    counted = written(classes.groupBy("class").agg(F.sum("n").alias("class_size"), F.count("*").alias("reps")), "class-sizes")
+    classes = written(heavy_join(classes, counted, "class", "reps").drop("reps"), "classes")
+    joined = heavy_join(rows_, classes, "rep", "n", "left")
+    joined = written(joined.select("rid", "doc_id", "k", F.coalesce("class", "rep").alias("class"), F.coalesce("class_size", "copies").alias("class_size")), "in-classes")
+    firsts = joined.where("class_size > 1").groupBy("class").agg(F.min(F.struct("doc_id", "rid")).alias("f"), F.count("*").alias("n"))
+    grouped = heavy_join(joined.where("class_size > 1"), written(firsts, "class-firsts"), "class", "n")
+    drop(sketch, first, rows_, leader, shared, wanted_, texts_, classes, counted)
+    grouped = grouped.select("doc_id", F.col("f.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("f.rid")).alias("kept"), "k")
+    single = joined.where("class_size = 1").select("doc_id", F.col("doc_id").alias("class_id"), "class_size", F.lit(True).alias("kept"), "k")
+    return grouped.union(single)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns.
 
-    Rows come back by (doc_id, hash of the text). Rows equal in both are one row
-    here; of such groups the kept number is what counts, so one row stays.
+    Null texts are empty, and texts without words stay. Rows come back by
+    (doc_id, hash of the text); of several rows equal in both, the one whose
+    columns come first as JSON stays, so a retried task keeps the same. An empty
+    table gives no rows; extra columns pass through.
+
+    Rows to drop travel by broadcast up to ``BROADCAST_ROWS`` of them; beyond,
+    one shuffle of the rows finds them.
     """
     found = written(near_duplicates(docs, **options), "classes")
     per = found.groupBy("doc_id", "k").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    d, kk, n, kept, key = fresh(docs, "__d", "__kk", "__n", "__kept", "__key")
-    per = per.where("NOT kept OR n > 1").select(F.col("doc_id").alias(d), F.col("k").alias(kk), F.col("kept").alias(kept))
+    d, kk, kept, key, row = fresh(docs, "__d", "__kk", "__kept", "__key", "__row")
+    per = written(per.where("NOT kept OR n > 1").select(F.col("doc_id").alias(d), F.col("k").alias(kk), F.col("kept").alias(kept)), "dropped")
     cols = docs.columns
-    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    on = (F.col(key) == F.col(kk)) & F.col("doc_id").eqNullSafe(F.col(d))
-    single = keyed.join(per, on, "left_anti").select(*cols)
-    twice = keyed.join(per.where(F.col(kept)), on, "left_semi").dropDuplicates(["doc_id", key]).select(*cols)
-    return single.union(twice)
+    keyed = docs.withColumn(key, _key())
+    on = (F.col(key) == F.col(kk)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d))
+    single = keyed.join(bounded(per), on, "left_anti").select(*cols)
+    twice = keyed.join(bounded(per.where(F.col(kept))), on, "left_semi")
+    twice = twice.withColumn(row, F.struct(*cols)).groupBy("doc_id", key).agg(F.min_by(row, F.to_json(row)).alias(row))
+    return single.union(twice.select(f"{row}.*"))

@@ -83,8 +83,8 @@ def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
-def heavy_join(rows: DataFrame, table: DataFrame, key: str, size: str, parts: int = 1000) -> DataFrame:
-    """Inner join of written ``rows`` with written ``table``, one row per ``key`` that ``size`` rows have.
+def heavy_join(rows: DataFrame, table: DataFrame, key: str, size: str, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """Join (``inner`` or ``left``) of written ``rows`` with written ``table``, one row per ``key`` that ``size`` rows have.
 
     Keys that hold more than one in ``parts`` of all rows are at most ``parts``
     many: they travel by broadcast, so no hot key is gathered in a task. All
@@ -92,7 +92,7 @@ def heavy_join(rows: DataFrame, table: DataFrame, key: str, size: str, parts: in
     """
     least = max(1, -(-rows.count() // parts))
     heavy = F.broadcast(table.where(F.col(size) > least))
-    light = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col(size) <= least), key)
+    light = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col(size) <= least), key, how)
     return rows.join(heavy, key).unionByName(light)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import string
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,11 +12,17 @@ from rasterloom.llm import chat, near_dedup, queries, secret_scan, toxicity, url
 from tests.llm.conftest import odd_documents, words
 
 
+PUNCTUATION = string.punctuation + "«»„“”‘’…–—¿¡"
+
+
+def plain_shingles(text, width=5):
+    """Five-word shingles from the words themselves, with counts."""
+    said = [w.strip(PUNCTUATION) or w for w in (text or "").lower().split()]
+    return Counter(tuple(said[k : k + width]) for k in range(max(1, len(said) - width + 1))) if said else Counter()
+
+
 def brute_classes(docs, least=0.8):
-    sets = []
-    for d in docs:
-        s = near_dedup.shingles(near_dedup.word_hashes(d[1] or ""))
-        sets.append(dict(zip(s[0].tolist(), s[1].tolist(), strict=True)))
+    sets = [plain_shingles(d[1]) for d in docs]
     up = list(range(len(docs)))
 
     def find(x):
@@ -70,6 +77,34 @@ def test_near_duplicates_match_brute_force(spark, block):
     assert sorted(r["doc_id"] for r in left) == sorted(v[0] for v in want)
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_duplicates_keep_a_chain_of_unlike_documents_apart(spark, block):
+    """Each document shares two thirds of its words with the next; with one row to a band nearly all collide, yet only true copies link."""
+    stream = words(2000, 77).split()
+    docs = [(k, " ".join(stream[20 * k : 20 * k + 60])) for k in range(80)]
+    docs += [(100 + k, docs[k][1] + " tail") for k in range(0, 80, 7)] + [(200, docs[3][1]), (None, docs[3][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    by = defaultdict(list)
+    rows = near_dedup.near_duplicates(df, bands=60, rows=1, block=block).collect()
+    for r in rows:
+        by[r["class_id"], r["k"] if r["class_id"] is None and r["class_size"] == 1 else None].append(r["doc_id"])
+    got = Counter(tuple(sorted(v, key=lambda i: (i is not None, i or 0))) for v in by.values())
+    assert got == brute_classes(docs) and max(len(v) for v in got) == 3
+    assert all(r["class_size"] == len(by[r["class_id"], None]) for r in rows)
+    assert sum(r["kept"] for r in rows) == len(got)
+
+
+def test_keep_one_of_rows_equal_in_id_and_text(spark):
+    """The row that comes first as JSON stays, however the rows lie."""
+    rows = [(1, words(30, 4), f"s{k}", k) for k in (4, 2, 9)] + [(2, words(30, 4) + " x", "a", 1), (3, None, None, None), (3, None, None, 1), (4, "", "q", None)]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, __kept int").repartition(parts)
+        got = near_dedup.keep_one(df)
+        assert got.columns == df.columns
+        assert sorted(tuple(r) for r in got.select("doc_id", "source").collect() if r[0] == 1) == [(1, "s2")]
+        assert sorted(r["doc_id"] for r in got.collect()) in ([1, 3, 3, 4], [1, 3, 4])
+
+
 def test_near_duplicates_odd_documents(odd, none):
     out, kept = got_classes(near_dedup.near_duplicates(odd))
     assert sum(len(v) for v in out.values()) == len(odd_documents())
