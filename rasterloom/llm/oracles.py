@@ -39,8 +39,8 @@ FROM o GROUP BY conv_id
 """
 
 
-def urls(rules: list[tuple[str, str]], terms: tuple[str, ...], depth: int = 3, least: int = 5, z: float = 1.96, smoothing: float = 4.0, prior: float = 0.1, reject: float = 0.5) -> str:
-    """The rules and the path-template tree of the URL filter, with its defaults."""
+def urls(rules: list[tuple[str, str]], terms: tuple[str, ...], least: int = 5, z: float = 1.96, smoothing: float = 4.0, prior: float = 0.1, reject: float = 0.5) -> str:
+    """The URL filter by its definition: every page looks at all pages of its host through windows, position by position."""
     ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
 
     def chain(value) -> str:
@@ -50,31 +50,36 @@ def urls(rules: list[tuple[str, str]], terms: tuple[str, ...], depth: int = 3, l
             out.append(f"WHEN (host = '{name}' OR host LIKE '%.{name}') AND starts_with(path, '{slash + rest}') THEN '{value(said, text)}'")
         return "CASE " + " ".join(out) + " END"
 
-    seg = " ".join(
-        f", CASE WHEN len(segs) <= {k} THEN '' WHEN regexp_matches(segs[{k + 1}], '^[0-9]+([._-][A-Za-z0-9]*)?$|^[0-9a-fA-F-]{{8,}}$|[0-9]{{3,}}') THEN '*' ELSE segs[{k + 1}] END AS s{k}" for k in range(depth)
-    )
-    keys = ", ".join(["host", *(f"s{k}" for k in range(depth))])
     seeded = " OR ".join(f"contains(host, '{t}')" for t in terms)
     sql = f"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-r AS (SELECT *, {chain(lambda s, t: t)} AS rule, {chain(lambda s, t: s)} AS said, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM h),
-p AS (SELECT *, CASE WHEN said = 'block' OR (said IS NULL AND ({seeded})) THEN 1 WHEN said = 'allow' THEN 0 END AS bad{seg} FROM r),
-raw AS (SELECT {keys}, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM p GROUP BY ALL)"""
-    tree, parent = "raw", ["host"]
-    for k in range(depth):
-        up, s = ", ".join(parent), f"s{k}"
-        keep = f"""{s} IN ('', '*') OR (ln >= {least} AND CASE WHEN ll > 0 AND pl - ll > 0 THEN abs(lb / ll - (pb - lb) / (pl - ll)) >= {z} * sqrt((pb + 1) / (pl + 2) * (1 - (pb + 1) / (pl + 2)) * (1 / ll + 1 / (pl - ll))) ELSE false END)"""
+r AS (SELECT *, {chain(lambda s, t: t)} AS rule, {chain(lambda s, t: s)} AS said,
+  list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+([._-][A-Za-z0-9]*)?$|^[0-9a-fA-F-]{{8,}}$|[0-9]{{3,}}') THEN '*' ELSE x END) AS segs FROM h),
+x0 AS (SELECT *, CASE WHEN said = 'block' OR (said IS NULL AND ({seeded})) THEN 1 WHEN said = 'allow' THEN 0 END AS bad,
+  coalesce(segs[1], '') AS s0, coalesce(segs[2], '') AS s1, coalesce(array_to_string(segs[3:], '/'), '') AS s2 FROM r)"""
+    above = "host"
+    for k in range(3):
+        # of: labelled and bad pages of the branch (a) and of its siblings (b)
         sql += f""",
-l{k} AS (SELECT {up}, {s}, sum(n) AS ln, sum(labelled) AS ll, sum(bad) AS lb FROM {tree} GROUP BY ALL), a{k} AS (SELECT {up}, sum(labelled) AS pl, sum(bad) AS pb FROM {tree} GROUP BY ALL),
-n{k} AS (SELECT {up}, {s}, CASE WHEN {keep} THEN {s} ELSE '*' END AS t{k} FROM l{k} JOIN a{k} USING ({up})), tree{k} AS (SELECT * FROM {tree} JOIN n{k} USING ({up}, {s}))"""
-        tree, parent = f"tree{k}", [*parent, f"t{k}"]
-    template = " || ".join(["host", *(f"CASE WHEN t{k} = '' THEN '' ELSE '/' || t{k} END" for k in range(depth))])
+c{k} AS (SELECT *, count(*) OVER w AS seen, count(bad) OVER w AS la, coalesce(sum(bad) OVER w, 0) AS ba, count(bad) OVER p - count(bad) OVER w AS lb, coalesce(sum(bad) OVER p, 0) - coalesce(sum(bad) OVER w, 0) AS bb
+  FROM x{k} WINDOW w AS (PARTITION BY {above}, s{k}), p AS (PARTITION BY {above})),
+d{k} AS (SELECT *, (ba + bb + 1) / (la + lb + 2) AS pool FROM c{k}),
+x{k + 1} AS (SELECT * EXCLUDE (seen, la, ba, lb, bb, pool), CASE
+  WHEN s{k} = '' THEN ''
+  WHEN la = 0 AND seen >= {least} AND s{k} <> '*' THEN s{k}
+  WHEN la = 0 AND lb > 0 THEN '?'
+  WHEN la = 0 THEN '*'
+  WHEN lb = 0 THEN s{k}
+  WHEN seen >= {least} AND abs(ba / la - bb / lb) >= {z} * sqrt(pool * (1 - pool) * (1 / la + 1 / lb)) THEN s{k}
+  ELSE '*' END AS t{k} FROM d{k})"""
+        above += f", t{k}"
+    template = " || ".join(["host", *(f"CASE WHEN t{k} = '' THEN '' ELSE '/' || t{k} END" for k in range(3))])
     return (
         sql
         + f""",
-tt AS (SELECT *, {template} AS template FROM {tree}), hh AS (SELECT host, (sum(bad) + {smoothing} * {prior}) / (sum(labelled) + {smoothing}) AS hp FROM raw GROUP BY host),
-j AS (SELECT host, template, (sum(bad) + {smoothing} * any_value(hp)) / (sum(labelled) + {smoothing}) AS purity FROM tt JOIN hh USING (host) GROUP BY host, template),
-b AS (SELECT {keys}, template, purity FROM tt JOIN j USING (host, template))
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {reject} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity FROM p LEFT JOIN b USING ({keys})"""
+tt AS (SELECT *, {template} AS template FROM x3),
+j AS (SELECT *, count(bad) OVER t AS tl, (coalesce(sum(bad) OVER t, 0) + {smoothing} * (coalesce(sum(bad) OVER o, 0) + {smoothing} * {prior}) / (count(bad) OVER o + {smoothing})) / (count(bad) OVER t + {smoothing}) AS purity
+  FROM tt WINDOW t AS (PARTITION BY host, template), o AS (PARTITION BY host))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN tl > 0 AND purity >= {reject} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity FROM j"""
     )
