@@ -3,8 +3,9 @@
 1. Each document becomes pre-token frequencies (in Arrow batches).
 2. Distinct pre-tokens, combined before the shuffle, are counted in pieces once.
 3. Frequencies join to those counts and are summed per document. A head of at
-   most ``head`` frequent pre-tokens joins where the documents are read (its
-   size is fixed, so it can travel with the tasks); all others join by shuffle.
+   most ``head`` frequent pre-tokens of at most 64 characters joins where the
+   documents are read (its size is fixed, so it can travel with the tasks); all
+   others join by shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.shared import with_row_id, written
 
-#: Pre-tokens in the head; about 20 bytes each.
-HEAD = 131_072
+#: Pre-tokens in the head, and characters of each, at most; longer ones join by shuffle.
+HEAD, HEAD_CHARS = 131_072, 64
 _BLANK = re.compile(r"\s ")
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
@@ -127,14 +128,15 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, head: int = HE
     vocabulary = written(words.mapInArrow(count, "pretoken string, n long, tokens long"), "pretokens")
     # The head is all counts from a level on that leaves at most ``head`` of them; levels are eighths of a power of two.
     level = F.floor(F.log2("n") * 8)
-    levels, room, least = sorted(((r[0], r[1]) for r in vocabulary.groupBy(level).count().collect()), reverse=True), head, None
+    short = vocabulary.where(F.length("pretoken") <= HEAD_CHARS)
+    levels, room, least = sorted(((r[0], r[1]) for r in short.groupBy(level).count().collect()), reverse=True), head, None
     for k, n in levels:
         room -= n
         if room < 0:
             break
         least = k
-    top = {} if least is None else {r["pretoken"]: r["tokens"] for r in vocabulary.where(level >= least).select("pretoken", "tokens").toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast(top)  # at most ``head`` entries
+    top = {} if least is None else {r["pretoken"]: r["tokens"] for r in short.where(level >= least).select("pretoken", "tokens").toLocalIterator()}
+    shared = docs.sparkSession.sparkContext.broadcast(top)  # at most ``head`` entries of ``HEAD_CHARS`` characters
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
