@@ -15,8 +15,9 @@ from collections.abc import Iterator
 from math import log2
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from rasterloom.llm.shared import fresh, with_row_id, written
 
@@ -61,19 +62,24 @@ def extra_candidates(text: str) -> list[tuple[int, int]]:
 _SCAN = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("base", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("cands", pa.list_(pa.struct([("h", pa.binary()), ("s", pa.int64()), ("e", pa.int64())])))])
 
 
+def _candidates(text: str, base: list[tuple[str, int, int, int, int]]) -> list[dict]:
+    """Hash and place of each candidate value: those of the base matches and the long mixed tokens."""
+    spans = dict.fromkeys([(x[3], x[4]) for x in base] + extra_candidates(text))
+    return [{"h": hashlib.blake2b(text[s:e].encode("utf-8", "surrogatepass"), digest_size=16).digest(), "s": s, "e": e} for s, e in spans]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for i, text, source, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("source").to_pylist(), b.column("lang").to_pylist(), strict=True):
             text = text or ""
             base = base_spans(text)
-            spans = dict.fromkeys([(x[3], x[4]) for x in base] + extra_candidates(text))
             n = Counter(x[0] for x in base)
             rows.append(
                 {
                     "doc_id": i, "source": source, "lang": lang, "base": ",".join(f"{k}:{s}:{e}" for k, s, e, _, _ in base),
                     "n_assign": n["assign"], "n_access": n["access"], "n_hex": n["hex"],
-                    "cands": [{"h": hashlib.blake2b(text[s:e].encode("utf-8", "surrogatepass"), digest_size=16).digest(), "s": s, "e": e} for s, e in spans],
+                    "cands": _candidates(text, base),
                 }
             )
         yield pa.RecordBatch.from_pylist(rows, schema=_SCAN)
@@ -82,6 +88,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SCAN_DDL = "doc_id long, source string, lang string, base string, n_assign long, n_access long, n_hex long, cands array<struct<h: binary, s: long, e: long>>"
 
 
+def _ownership(cand: DataFrame) -> DataFrame:
+    """(h, owners, repos): distinct owners and (owner, lang) pairs of each value, each level combined before the next."""
+    held = cand.select("h", "owner", "lang").distinct().groupBy("h", "owner").agg(F.count("*").alias("repos"))
+    return held.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+
+
+def _copied(owners: int, repositories: int) -> Column:
+    return (F.col("owners") >= owners) | (F.col("repos") >= repositories)
+
+
 def scan_secrets(docs: DataFrame, *, example_owners: int = 3, example_repositories: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, counts, base string, spans (array of kind, s, e).
 
@@ -100,10 +116,8 @@ def scan_secrets(docs: DataFrame, *, example_owners: int = 3, example_repositori
     seen = written(with_row_id(docs.select("doc_id", "text", "source", "lang").mapInArrow(_scan, _SCAN_DDL)), "secrets")
     cand = seen.where(F.size("cands") > 0).select("rid", F.coalesce("source", F.lit("")).alias("owner"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode("cands").alias("c"))
     cand = cand.select("rid", "owner", "lang", "c.h", "c.s", "c.e")
-    held = cand.groupBy("h", "owner", "lang").agg(F.count("*").alias("n")).groupBy("h", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    held = held.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    kind = F.when((F.col("owners") >= example_owners) | (F.col("repos") >= example_repositories), "example").otherwise("live")
-    added = cand.join(held, "h").groupBy("rid").agg(F.collect_list(F.struct(kind.alias("kind"), "s", "e")).alias("added"))
+    kind = F.when(_copied(example_owners, example_repositories), "example").otherwise("live")
+    added = cand.join(_ownership(cand), "h").groupBy("rid").agg(F.collect_list(F.struct(kind.alias("kind"), "s", "e")).alias("added"))
     out = seen.join(added, "rid", "left")
     base = F.expr("transform(filter(split(base, ','), x -> x != ''), x -> named_struct('kind', split(x, ':')[0], 's', cast(split(x, ':')[1] AS long), 'e', cast(split(x, ':')[2] AS long)))")
     every = F.concat(base, F.coalesce("added", F.expr("cast(array() AS array<struct<kind: string, s: bigint, e: bigint>>)")))
@@ -120,31 +134,31 @@ def secret_digest(found: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", *, example_owners: int = 3, example_repositories: int = 5) -> DataFrame:
     """``docs`` with the value of every live-looking secret replaced by ``mark``; no row is dropped.
 
-    Values that the corpus shows to be copied examples stay. Only documents with
-    a candidate are written and joined; the others pass by. Columns and rows
-    are those of ``docs``; n_chars, where there is one, is the new length.
+    Values that the corpus shows to be copied examples stay. Null and empty texts
+    stay as they are; null sources and languages are one owner called '';
+    repeated rows and null ids are rows of their own; overlapping values are one
+    cut; long texts are read whole; an empty table gives no rows. Columns and
+    rows are those of ``docs``; n_chars, where there is one, is the new length of
+    a text that changed.
+
+    Texts are scanned once and written with what was found. Only documents with
+    a candidate are joined and changed; the others pass by without Python.
     """
     cols, schema = docs.columns, docs.schema
-    rid, cuts_ = fresh(docs, "__rid", "__cuts")
-
-    def split(holding: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = b.column("text").to_pylist()
-                has = [bool(t) and bool(base_spans(t) or extra_candidates(t)) for t in texts]
-                out = b.filter(pa.array([h == holding for h in has]))
-                if out.num_rows:
-                    yield out
-
-        return run
-
-    held = written(with_row_id(docs.mapInArrow(split(True), schema), rid), "holders")
-    scan = held.select(F.col(rid).alias("doc_id"), "text", "source", "lang").mapInArrow(_scan, _SCAN_DDL)
-    cand = scan.select(F.col("doc_id").alias(rid), F.coalesce("source", F.lit("")).alias("owner"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode("cands").alias("c")).select(rid, "owner", "lang", "c.h", "c.s", "c.e")
-    per = cand.groupBy("h", "owner", "lang").agg(F.count("*").alias("n")).groupBy("h", "owner").agg(F.count("*").alias("repos"))
-    per = per.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = cand.join(per.where((F.col("owners") < example_owners) & (F.col("repos") < example_repositories)), "h")
-    cuts = live.groupBy(rid).agg(F.collect_set(F.struct("s", "e")).alias(cuts_))
+    rid, cands, cuts_ = fresh(docs, "__rid", "__cands", "__cuts")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _SCAN.field("cands").type
+        for b in batches:
+            found = [_candidates(t or "", base_spans(t or "")) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, cands])
+
+    added = StructType([*schema.fields]).add(cands, ArrayType(StructType().add("h", BinaryType()).add("s", LongType()).add("e", LongType())))
+    seen = written(with_row_id(docs.mapInArrow(scan, added), rid), "scanned")
+    cand = seen.where(F.size(cands) > 0).select(rid, F.coalesce("source", F.lit("")).alias("owner"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode(cands).alias("c"))
+    cand = cand.select(F.col(rid).alias("rid"), "owner", "lang", "c.h", "c.s", "c.e")
+    live = cand.join(_ownership(cand).where(~_copied(example_owners, example_repositories)), "h")
+    cuts = live.groupBy("rid").agg(F.collect_set(F.struct("s", "e")).alias(cuts_)).withColumnRenamed("rid", rid)
     at = cols.index("text")
     n_at = cols.index("n_chars") if "n_chars" in cols else None
 
@@ -165,5 +179,5 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", *, example_owners: i
                 columns[n_at] = pa.array([len(t) if c else n for t, c, n in zip(texts, b.column(cuts_).to_pylist(), columns[n_at].to_pylist(), strict=True)], columns[n_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=cols)
 
-    changed = held.join(cuts, rid, "left").select(*cols, cuts_).mapInArrow(redact, schema)
-    return docs.mapInArrow(split(False), schema).union(changed)
+    changed = seen.where(F.size(cands) > 0).join(cuts, rid, "left").select(*cols, cuts_).mapInArrow(redact, schema)
+    return seen.where(F.size(cands) == 0).select(*cols).union(changed)

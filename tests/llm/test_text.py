@@ -245,3 +245,100 @@ def test_urls(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule[0]), u
         assert r["verdict"] == (rule[1] if rule else "block" if "spam" in host else "allow"), r
     assert url_filter.judge_urls(df.limit(0), queries.RULES).collect() == []
+
+
+def test_ownership_by_brute_force(spark):
+    """Kinds of all spans from plain counts of owners and repositories, over random documents."""
+    r = np.random.default_rng(8)
+    pool = [f"Zq{k}Lw8Rt4Yp6Nm3Bx{k}Vc" for k in range(6)] + [f"{k:02d}abcdef" * 4 for k in range(6)] + ["AKIA" + c * 18 for c in "ABC"]
+    docs = []
+    for k in range(200):
+        held = [pool[j] for j in r.integers(0, len(pool), r.integers(0, 4)) if r.random() < 0.2 or j % 5 == k % 5]
+        parts = [f"{r.choice(['token', 'see', 'Secret'])}{r.choice([': ', ' ', '='])}{v}" for v in held]
+        docs.append((k, " word ".join(parts), [None, "en", "de"][k % 3], [None, "a", "b", "c"][int(r.integers(0, 4))]))
+    owners, repos = defaultdict(set), defaultdict(set)
+    values = {}
+    for i, t, lang, source in docs:
+        spans = {m.span(g) for p, g, least in BASE.values() for m in p.finditer(t) if len(m[g]) >= least}
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t):
+            s = m[0]
+            bits = -sum(n / len(s) * np.log2(n / len(s)) for n in Counter(s).values())
+            if re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s) and bits >= 3.5:
+                spans.add(m.span())
+        values[i] = [(a, b, t[a:b]) for a, b in spans]
+        for _, _, v in values[i]:
+            owners[v].add(source or "")
+            repos[v].add((source or "", lang or ""))
+    want = {i: {("example" if len(owners[v]) >= 3 or len(repos[v]) >= 5 else "live", a, b) for a, b, v in values[i]} for i in values}
+    assert {k for v in want.values() for k, _, _ in v} == {"live", "example"}
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(4)
+    rows = secret_scan.scan_secrets(df).collect()
+    assert {x["doc_id"]: {(s["kind"], s["s"], s["e"]) for s in x["spans"] if s["kind"] in ("live", "example")} for x in rows} == want
+    clean = {x["doc_id"]: x["text"] for x in secret_scan.redact_secrets(df).collect()}
+    for i, t, *_ in docs:
+        out, done = "", 0
+        for _, a, b in sorted((x for x in want[i] if x[0] == "live"), key=lambda x: x[1:]):
+            out, done = (out + t[done:a] + "[secret]", b) if a >= done else (out, max(done, b))
+        assert clean[i] == out + t[done:]
+
+
+def plain_chain(x, y, folds, steps=150, l2=1e-4):
+    """Weights of a chain over a dense 0/1 matrix; later categories see out-of-fold probabilities of the earlier ones."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def learn(a, t):
+        w = np.zeros(a.shape[1] + 1)
+        a = np.column_stack([a, np.ones(len(a))])
+        w[-1] = np.log((t.sum() + 1) / (len(t) - t.sum() + 1))
+        past = np.full(len(w), 1e-8)
+        for _ in range(steps):
+            g = a.T @ (sigmoid(a @ w) - t) / len(t)
+            g[:-1] += l2 * w[:-1] / 10
+            past += g * g
+            w -= 0.7 * g / np.sqrt(past)
+        return w
+
+    seen, out = x, []
+    for c in range(y.shape[1]):
+        out.append(learn(seen, y[:, c]))
+        p = np.zeros(len(x))
+        for f in range(folds):
+            held = np.arange(len(x)) % folds == f
+            w = learn(seen[~held], y[~held, c])
+            p[held] = sigmoid(seen[held] @ w[:-1] + w[-1])
+        seen = np.column_stack([seen, p])
+    return out
+
+
+def test_chain_by_brute_force():
+    r = np.random.default_rng(1)
+    x = (r.random((90, 14)) < 0.3).astype(float)
+    y = np.column_stack([x[:, 0] + x[:, 1] + r.random(90) > 0.9, x[:, 2] + r.random(90) > 0.8, x[:, 0] + x[:, 2] > 1]).astype(float)
+    chain = toxicity.fit_chain([np.flatnonzero(v) for v in x], y, ["a", "b", "c"], np.arange(14), folds=5)
+    for mine, plain in zip(chain.weights, plain_chain(x, y, 5), strict=True):
+        assert np.allclose(mine, plain, atol=1e-8)
+    p = chain.probabilities([np.flatnonzero(v) for v in x])
+    seen = x
+    for c, w in enumerate(plain_chain(x, y, 5)):  # in prediction, earlier categories' own probabilities
+        q = 1 / (1 + np.exp(-(seen @ w[:-1] + w[-1])))
+        assert np.allclose(p[:, c], q, atol=1e-8)
+        seen = np.column_stack([seen, q])
+
+
+def test_toxicity_features_by_brute_force(spark):
+    """Scores from the words and word beginnings spelled out, for whole texts."""
+    import xxhash
+
+    docs = [(k, words(40, 600 + k) + (" Zscum, «zmoron»" if k % 4 == 0 else "")) for k in range(120)] + [(500, None), (501, ""), (502, "zscum " * 4000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(k, 1 - k % 2, int(k % 4 == 0)) for k in range(120)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(d, lab, queries.CATEGORIES)
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.score(d, chain).collect()}
+    for i, t in docs:
+        said = {w.strip(PUNCTUATION) for w in (t or "").lower().split()} - {""}
+        names = {f"={w}" for w in said} | {f"^{w[:n]}" for w in said for n in (3, 4, 5, 6) if len(w) >= n}
+        on = np.isin(chain.features, [xxhash.xxh3_64_intdigest(x.encode()) % toxicity.SPACE for x in names])
+        first = 1 / (1 + np.exp(-(chain.weights[0][:-1][on].sum() + chain.weights[0][-1])))
+        second = 1 / (1 + np.exp(-(chain.weights[1][: len(on)][on].sum() + chain.weights[1][len(on)] * first + chain.weights[1][-1])))
+        assert abs(got[i][0] - first) < 2e-6 and abs(got[i][1] - second) < 2e-6
+    assert got[502][1] >= chain.threshold > got[501][1]
