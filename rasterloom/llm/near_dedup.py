@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int =
 
     reps = sketch.join(first.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", F.explode("bands").alias("bucket"))
     leader = written(reps.groupBy("bucket").agg(F.min("rid").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    shared = written(heavy_join(reps, leader, "bucket", "n").select("bucket", "leader", "rid"), "shared-buckets")
+    shared = written(reps.join(leader, "bucket").select("bucket", "leader", "rid"), "shared-buckets")  # AQE splits a hot bucket
     wanted_ = written(shared.select("rid").distinct().join(sketch.select("rid", "doc_id", "k", "chars"), "rid"), "wanted")
     wanted = wanted_.withColumnsRenamed({"doc_id": "d", "k": "kk"})
     texts = base.join(bounded(wanted), (base.k == F.col("kk")) & base.doc_id.eqNullSafe(F.col("d"))).select("rid", "text", "chars")
