@@ -27,7 +27,7 @@ from rasterloom.llm.shared import Generations, bounded, components, drop, fresh,
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Documents that one verifying task compares at a time come in blocks of about so many at most, and of about so many characters.
-BLOCK, BLOCK_CHARS = 1024, 16_000_000
+BLOCK, BLOCK_CHARS = 256, 4_000_000
 _PUNCTUATION = string.punctuation + "«»„“”‘’…–—¿¡"
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
