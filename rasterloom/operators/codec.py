@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.pixel import BLOCK_EDGE, RUN_CAP
-from rasterloom.operators.entropy import SymbolReader, encode_blocks
+from rasterloom.operators.entropy import CODERS, SymbolReader, encode_blocks
 from rasterloom.operators.model import SCALE, Models
 from rasterloom.operators.motion import find_vector
 from rasterloom.operators.predict import DELTA_ORDER, GRADIENT, KEY_ORDER, LEFT, LITERAL, PREVIOUS, UP, UP_LEFT
@@ -67,8 +67,8 @@ def _fits(a: np.ndarray, prev: np.ndarray | None) -> dict[int, np.ndarray]:
 class SegmentCodec:
     """State of one segment: statistics and the frame before."""
 
-    def __init__(self, height: int, width: int, far: int = 256, near: int = 8):
-        self.h, self.w, self.far, self.near = height, width, far, near
+    def __init__(self, height: int, width: int, far: int = 256, near: int = 8, coder: str = "rans"):
+        self.h, self.w, self.far, self.near, self.coder = height, width, far, near, CODERS[coder]
         self.models, self.prev = Models(ALPHABETS), None
         self.nby, self.nbx = -(-height // BLOCK_EDGE), -(-width // BLOCK_EDGE)
 
@@ -90,13 +90,22 @@ class SegmentCodec:
                 self.models = Models(ALPHABETS)
             self.prev = a.copy()
             return bytes([FLAT, *a[0, 0].tolist()])
-        if key or self.prev is None:
+        tag, symbols = self.symbols(a, key)
+        if tag == CODED:
             self.models = Models(ALPHABETS)
-            out = bytes([CODED]) + encode_blocks(self._intervals(self._key_symbols(a)))
+        return bytes([tag]) + (encode_blocks(self._intervals(symbols), encode=self.coder.encode) if tag != SAME else b"")
+
+    def symbols(self, image: np.ndarray, key: bool) -> tuple[int, list[tuple[str, int, int]]]:
+        """Packet tag of an image and what it writes: (channel, context, value); the image becomes the frame before."""
+        a = image.reshape(self.h, self.w, 3)
+        if (a == a[0, 0]).all():
+            out = FLAT, []
+        elif key or self.prev is None:
+            out = CODED, self._key_symbols(a)
         elif (a == self.prev).all():
-            out = bytes([SAME])
+            out = SAME, []
         else:
-            out = bytes([DELTA]) + encode_blocks(self._intervals(self._delta_symbols(a)))
+            out = DELTA, self._delta_symbols(a)
         self.prev = a.copy()
         return out
 
@@ -187,13 +196,13 @@ class SegmentCodec:
                 self.models = Models(ALPHABETS)
         elif tag == CODED:
             self.models = Models(ALPHABETS)
-            a = self._read_key(SymbolReader(packet[1:], self.models))
+            a = self._read_key(SymbolReader(packet[1:], self.models, reader=self.coder.reader))
         elif tag not in (SAME, DELTA):
             raise ValueError(f"packet of an unknown version: tag {tag:#x}")
         elif self.prev is None:
             return None
         else:
-            a = self.prev if tag == SAME else self._read_delta(SymbolReader(packet[1:], self.models))
+            a = self.prev if tag == SAME else self._read_delta(SymbolReader(packet[1:], self.models, reader=self.coder.reader))
         self.prev = a
         return a.copy()
 
@@ -263,7 +272,7 @@ class SegmentCodec:
         return a.astype(np.uint8)
 
 
-def encode(images: DataFrame, segments: DataFrame, far: int = 256, near: int = 8) -> DataFrame:
+def encode(images: DataFrame, segments: DataFrame, far: int = 256, near: int = 8, coder: str = "rans") -> DataFrame:
     """Packets (frame_id, segment, ftype, payload, size) of images, by ``segments`` (frame_id, segment, is_key).
 
     A segment is at most a keyframe interval of frames: it streams through one
@@ -276,7 +285,7 @@ def encode(images: DataFrame, segments: DataFrame, far: int = 256, near: int = 8
             rows = []
             for x in b.to_pylist():
                 if x["segment"] != segment or codec is None:
-                    segment, codec = x["segment"], SegmentCodec(x["height"], x["width"], far, near)
+                    segment, codec = x["segment"], SegmentCodec(x["height"], x["width"], far, near, coder)
                 payload = codec.encode(np.frombuffer(x["pixels"], dtype=np.uint8), x["is_key"])
                 rows.append({"frame_id": x["frame_id"], "segment": segment, "ftype": "I" if payload[0] in (FLAT, CODED) else "P", "payload": payload, "size": len(payload)})
             yield pa.RecordBatch.from_pylist(rows, schema=_PACKET)
@@ -285,10 +294,28 @@ def encode(images: DataFrame, segments: DataFrame, far: int = 256, near: int = 8
     return d.repartition("segment").sortWithinPartitions("segment", "frame_id").mapInArrow(run, "frame_id long, segment long, ftype string, payload binary, size long")
 
 
+def symbols(images: DataFrame, segments: DataFrame, far: int = 256, near: int = 8) -> DataFrame:
+    """What :func:`encode` would write before entropy coding: rows (frame_id, segment, seq, channel, ctx, value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, codec = None, None
+        for b in batches:
+            for x in b.to_pylist():
+                if x["segment"] != segment or codec is None:
+                    segment, codec = x["segment"], SegmentCodec(x["height"], x["width"], far, near)
+                _, told = codec.symbols(np.frombuffer(x["pixels"], dtype=np.uint8), x["is_key"])
+                n = len(told)
+                columns = [pa.array([x["frame_id"]] * n, pa.int64()), pa.array([segment] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([t[0] for t in told], pa.string()), *(pa.array([t[k] for t in told], pa.int32()) for k in (1, 2))]
+                yield pa.RecordBatch.from_arrays(columns, names=["frame_id", "segment", "seq", "channel", "ctx", "value"])
+
+    d = images.join(segments, "frame_id").select("segment", "frame_id", "height", "width", "pixels", "is_key")
+    return d.repartition("segment").sortWithinPartitions("segment", "frame_id").mapInArrow(run, "frame_id long, segment long, seq int, channel string, ctx int, value int")
+
+
 _PACKET = pa.schema([("frame_id", pa.int64()), ("segment", pa.int64()), ("ftype", pa.string()), ("payload", pa.binary()), ("size", pa.int64())])
 
 
-def decode(packets: DataFrame, height: int, width: int, far: int = 256) -> DataFrame:
+def decode(packets: DataFrame, height: int, width: int, far: int = 256, coder: str = "rans") -> DataFrame:
     """Images of packets; deltas that no keyframe precedes are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +324,7 @@ def decode(packets: DataFrame, height: int, width: int, far: int = 256) -> DataF
             rows = []
             for x in b.to_pylist():
                 if x["segment"] != segment or codec is None:
-                    segment, codec = x["segment"], SegmentCodec(height, width, far)
+                    segment, codec = x["segment"], SegmentCodec(height, width, far, coder=coder)
                 a = codec.decode(x["payload"])
                 if a is not None:
                     rows.append({"frame_id": x["frame_id"], "height": height, "width": width, "pixels": a.tobytes()})

@@ -6,10 +6,14 @@ grouped Arrow functions: the JVM's signed arithmetic has no part in it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.operators.grouped import by_key
 from rasterloom.operators.model import SCALE, Models
 
 SCALE_BITS = 12
@@ -59,26 +63,26 @@ class RansReader:
         return self.data[self.at - 1]
 
 
-def encode_blocks(intervals: list[tuple[int, int]], block: int = BLOCK) -> bytes:
+def encode_blocks(intervals: list[tuple[int, int]], block: int = BLOCK, encode: Callable = rans_encode) -> bytes:
     """Blocks of at most ``block`` intervals, each led by its length in four bytes."""
     out = bytearray()
     for at in range(0, len(intervals), block):
-        part = rans_encode(intervals[at : at + block])
+        part = encode(intervals[at : at + block])
         out += len(part).to_bytes(4, "little") + part
     return bytes(out)
 
 
 class SymbolReader:
-    """Reads the symbols of :func:`encode_blocks` with the same models that wrote them."""
+    """Reads the symbols of :func:`encode_blocks` with the same models that wrote them; ``reader`` is the coder's."""
 
-    def __init__(self, data: bytes, models: Models, block: int = BLOCK):
-        self.data, self.models, self.block = data, models, block
+    def __init__(self, data: bytes, models: Models, block: int = BLOCK, reader: type = RansReader):
+        self.data, self.models, self.block, self.make = data, models, block, reader
         self.next, self.left, self.reader = 0, 0, None
 
     def _ready(self) -> None:
         if not self.left:
             n = int.from_bytes(self.data[self.next : self.next + 4], "little")
-            self.reader = RansReader(self.data, self.next + 4)
+            self.reader = self.make(self.data[self.next + 4 : self.next + 4 + n])
             self.next, self.left = self.next + 4 + n, self.block
         self.left -= 1
 
@@ -150,6 +154,48 @@ class RangeDecoder:
             self.range <<= 8
 
 
+def range_blocks_encode(intervals: list[tuple[int, int]]) -> bytes:
+    """:func:`rans_encode` by the range coder: raw bytes take even shares of 256."""
+    coder = RangeEncoder()
+    for start, freq in intervals:
+        coder.put(*((start, freq, SCALE) if freq else (start, 1, 256)))
+    return coder.done()
+
+
+class RangeReader:
+    """:class:`RansReader` for :func:`range_blocks_encode`."""
+
+    def __init__(self, data: bytes):
+        self.coder, self.point = RangeDecoder(data), None
+
+    def peek(self) -> int:
+        if self.point is None:
+            self.point = self.coder.point(SCALE)
+        return self.point
+
+    def take(self, start: int, freq: int) -> None:
+        self.peek()
+        self.coder.take(start, freq)
+        self.point = None
+
+    def raw(self) -> int:
+        value = self.coder.point(256)
+        self.coder.take(value, 1)
+        return value
+
+
+@dataclass(frozen=True)
+class Coder:
+    """An entropy coder: a block of intervals to bytes, and a reader of such bytes."""
+
+    encode: Callable[[list[tuple[int, int]]], bytes]
+    reader: type
+
+
+#: Coders by name; codecs take any of them.
+CODERS = {"rans": Coder(rans_encode, RansReader), "range": Coder(range_blocks_encode, RangeReader)}
+
+
 class Counts:
     """Adaptive counts for the range coder: a step per symbol, halved (plus one) when the total passes 65536."""
 
@@ -191,10 +237,10 @@ def range_decode(data: bytes, length: int, n: int, step: int) -> list[int]:
 def entropy_blocks(intervals: DataFrame, block: int = BLOCK) -> DataFrame:
     """Encodes rows (frame_id, seq, start, freq) per frame and block of ``block`` rows: (frame_id, block, n, payload)."""
 
-    def code(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
-        pairs = list(zip(t.column("start").to_pylist(), t.column("freq").to_pylist(), strict=True))
-        return pa.table({"frame_id": [key[0].as_py()], "block": [key[1].as_py()], "n": [len(pairs)], "payload": [rans_encode(pairs)]})
+    def code(batches):
+        for (frame, number), t in by_key(batches, ["frame_id", "block"]):
+            pairs = list(zip(t.column("start").to_pylist(), t.column("freq").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([frame]), pa.array([number]), pa.array([len(pairs)]), pa.array([rans_encode(pairs)], pa.binary())], names=["frame_id", "block", "n", "payload"])
 
-    numbered = intervals.withColumn("block", F.floor(F.col("seq") / block).cast("long"))
-    return numbered.select("frame_id", "block", "seq", "start", "freq").groupBy("frame_id", "block").applyInArrow(code, "frame_id long, block long, n long, payload binary")
+    numbered = intervals.select("frame_id", F.floor(F.col("seq") / block).cast("long").alias("block"), "seq", "start", "freq")
+    return numbered.repartition("frame_id", "block").sortWithinPartitions("frame_id", "block", "seq").mapInArrow(code, "frame_id long, block long, n long, payload binary")

@@ -11,6 +11,8 @@ from bisect import bisect_left, insort
 
 import numpy as np
 
+from rasterloom.operators.grouped import by_key
+
 #: Probability scale; steps of small, middle, large and fixed models; list limits.
 SCALE = 4096
 SMALL_STEP, MIDDLE_STEP, LARGE_STEP, FIXED_STEP = 50, 25, 16, 16
@@ -230,26 +232,34 @@ class Models:
         return out
 
 
+def fold(symbols: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """(start, freq, kind) of each of the symbols of one context, in order; freq 0 where the symbol is raw."""
+    model, start, freq, kind = Singles(), [], [], []
+    for s in symbols:
+        table = model.table
+        start.append(s if table is None else int(table[s]))
+        freq.append(0 if table is None else int(table[s + 1] - table[s]))
+        kind.append(model.kind)
+        model = model.tell(s)
+    return start, freq, kind
+
+
 def adaptive_intervals(symbols, keys: list[str]):
     """Intervals of symbols in their contexts: rows (keys..., seq, sym, start, freq, kind).
 
     Contexts never interact when encoding, so each folds on its own, in order of
-    seq; ``symbols`` has keys, seq and sym (0..255).
+    seq; ``symbols`` has keys, seq and sym (0..255). Sorted contexts stream
+    through each task, one at a time; let ``keys`` hold the segment, since
+    statistics start anew at each keyframe.
     """
     import pyarrow as pa
 
-    types = dict(symbols.dtypes)
-
-    def fold(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
-        model, start, freq, kind = Singles(), [], [], []
-        for s in t.column("sym").to_pylist():
-            table = model.table
-            start.append(s if table is None else int(table[s]))
-            freq.append(0 if table is None else int(table[s + 1] - table[s]))
-            kind.append(model.kind)
-            model = model.tell(s)
-        return pa.table({**{k: t.column(k) for k in keys}, "seq": t.column("seq"), "sym": t.column("sym"), "start": pa.array(start, pa.int32()), "freq": pa.array(freq, pa.int32()), "kind": pa.array(kind, pa.int32())})
-
-    ddl = ", ".join(f"{k} {types[k]}" for k in [*keys, "seq", "sym"]) + ", start int, freq int, kind int"
-    return symbols.select(*keys, "seq", "sym").groupBy(*keys).applyInArrow(fold, ddl)
+    types, names = dict(symbols.dtypes), [*keys, "seq", "sym"]
+
+    def run(batches):
+        for _, t in by_key(batches, keys):
+            told = fold(t.column("sym").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in names), *(pa.array(v, pa.int32()) for v in told)], names=[*names, "start", "freq", "kind"])
+
+    ddl = ", ".join(f"{k} {types[k]}" for k in names) + ", start int, freq int, kind int"
+    return symbols.select(*names).repartition(*keys).sortWithinPartitions(*keys, "seq").mapInArrow(run, ddl)

@@ -31,8 +31,8 @@ def priorities(far: int = 256, near: int = 8) -> tuple[tuple[int, int], ...]:
     return tuple(order)
 
 
-def find_vector(prev: np.ndarray, cur: np.ndarray, rect: tuple[int, int, int, int], far: int = 256, near: int = 8) -> tuple[int, int] | None:
-    """First displacement of :func:`priorities` at which ``prev`` holds the rectangle (x1, y1, x2, y2) of ``cur``.
+def find_vector(prev: np.ndarray, cur: np.ndarray, rect: tuple[int, int, int, int], far: int = 256, near: int = 8, hints: tuple = ()) -> tuple[int, int] | None:
+    """First displacement at which ``prev`` holds the rectangle (x1, y1, x2, y2) of ``cur``: of ``hints``, then of :func:`priorities`.
 
     Frames are (h, w) arrays of packed pixels. A corner test leaves few places
     to compare in full.
@@ -40,6 +40,9 @@ def find_vector(prev: np.ndarray, cur: np.ndarray, rect: tuple[int, int, int, in
     x1, y1, x2, y2 = rect
     h, w = prev.shape
     block = cur[y1:y2, x1:x2]
+    for v in hints:
+        if v is not None and x1 + v[0] >= 0 and y1 + v[1] >= 0 and x2 + v[0] <= w and y2 + v[1] <= h and (prev[y1 + v[1] : y2 + v[1], x1 + v[0] : x2 + v[0]] == block).all():
+            return v
     d = _table(far, near)
     xs, ys = d[:, 0] + x1, d[:, 1] + y1
     ok = (xs >= 0) & (ys >= 0) & (xs + (x2 - x1) <= w) & (ys + (y2 - y1) <= h)
@@ -62,7 +65,18 @@ def packed(pixels: bytes, height: int, width: int) -> np.ndarray:
     return a[..., 0] << 16 | a[..., 1] << 8 | a[..., 2]
 
 
-def motion_vectors(images: DataFrame, blocks: DataFrame, far: int = 256, near: int = 8) -> DataFrame:
+def frame_vectors(prev: np.ndarray, cur: np.ndarray, rects: list[tuple[int, int, tuple[int, int, int, int]]], far: int = 256, near: int = 8, reuse: bool = False) -> list[tuple[int, int] | None]:
+    """Vectors of (brow, bx, rectangle) in raster order. With ``reuse``, the last vector found and that of the block above are tried first."""
+    last, at, out = None, {}, []
+    for brow, bx, rect in rects:
+        v = find_vector(prev, cur, rect, far, near, (last, at.get((brow - 1, bx))) if reuse else ())
+        if v is not None:
+            last = at[brow, bx] = v
+        out.append(v)
+    return out
+
+
+def motion_vectors(images: DataFrame, blocks: DataFrame, far: int = 256, near: int = 8, reuse: bool = False) -> DataFrame:
     """Changed blocks with their vector (dx, dy), null where nothing matches.
 
     Each frame meets the frame before it (one equi-join of whole frames on
@@ -77,8 +91,9 @@ def motion_vectors(images: DataFrame, blocks: DataFrame, far: int = 256, near: i
             rows = []
             for x in b.to_pylist():
                 old, new = (packed(x[k], x["height"], x["width"]) for k in ("before", "pixels"))
-                for r in x["rects"]:
-                    v = find_vector(old, new, (r["x1"], r["y1"], r["x2"], r["y2"]), far, near)
+                rects = sorted(x["rects"], key=lambda r: (r["brow"], r["bx"]))
+                found = frame_vectors(old, new, [(r["brow"], r["bx"], (r["x1"], r["y1"], r["x2"], r["y2"])) for r in rects], far, near, reuse)
+                for r, v in zip(rects, found, strict=True):
                     rows.append({"frame_id": x["frame_id"], **r, "dx": v and v[0], "dy": v and v[1]})
             yield pa.RecordBatch.from_pylist(rows, schema=_MOVED)
 

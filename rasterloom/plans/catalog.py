@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import pixel
 from rasterloom.operators import codec, diff, entropy, model, motion, predict, runs, sequence, stats
+from rasterloom.operators.grouped import by_key
 from rasterloom.sources import frames as fr
 
 W, H = fr.WIDTH, fr.HEIGHT
@@ -31,9 +32,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with(tail: str, *more: str) -> str:
+def _with(tail: str, *more: str, recursive: bool = False) -> str:
     """SQL over the CTE ``frames`` (the scenes), and more CTEs."""
-    return f"WITH frames AS ({fr.scene_sql('duckdb')}), " + ", ".join([*more, "last AS (SELECT 1)"]) + tail
+    return f"WITH {'RECURSIVE ' if recursive else ''}frames AS ({fr.scene_sql('duckdb')}), " + ", ".join([*more, "last AS (SELECT 1)"]) + tail
 
 
 _PAIR = "paired AS (SELECT *, lag(r) OVER w AS pr, lag(g) OVER w AS pg, lag(b) OVER w AS pb FROM frames WINDOW w AS (PARTITION BY y, x ORDER BY frame_id))"
@@ -84,16 +85,8 @@ def a06_a08_rgb16(spark, sf_dir):
     return d.select("frame_id", "y", "x", "word", r.alias("r5"), g.alias("g5"), b.alias("b5"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS INT) * 1024 + CAST(round(l_discount * 100) AS INT) * 32 + CAST(round(l_tax * 100) AS INT) AS INT) AS word FROM lineitem WHERE l_quantity < 32")
-def a08_pack_columns(spark, sf_dir):
-    """The 16-bit packing over table columns that fit five bits."""
-    d = _t(spark, sf_dir, "lineitem").where("l_quantity < 32")
-    word = pixel.pack16([F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int")])
-    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", word.alias("word"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS INT) // 2 * 1024 + CAST(round(l_discount * 100) AS INT) * 32 + CAST(round(l_tax * 100) AS INT) AS INT) AS word, CAST(CAST(l_quantity AS INT) % 2 AS INT) AS low FROM lineitem")
-def a08_pack_columns_whole(spark, sf_dir):
+def a08_pack_columns(spark, sf_dir):
     """The 16-bit packing over all rows: half the quantity fits five bits, and ``low`` keeps the bit that it lacks."""
     d = _t(spark, sf_dir, "lineitem")
     q = F.col("l_quantity").cast("int")
@@ -116,8 +109,30 @@ def a11_a15_formats(spark, sf_dir):
     """Format predicates and sizes over formats derived from all parts."""
     k = F.col("p_partkey") % 5
     d = _t(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("w"), (F.col("p_partkey") % 40).cast("int").alias("h"), F.when(k == 0, 8).when(k == 1, 16).when(k == 2, 24).when(k == 3, 32).otherwise(48).alias("d")).distinct()
-    ok = F.col("d").isin(16, 24, 32) & (F.col("w") > 0) & (F.col("h") > 0)
-    return d.select("w", "h", "d", ok.alias("encodes"), (ok & (F.col("w") == W) & (F.col("h") == H) & (F.col("d") == 24)).alias("decodes"), pixel.max_packet_bytes("w", "h").alias("max_bytes"), pixel.align4(F.col("w") * 3).alias("stride"), pixel.ceil_div("w").alias("nbx"), pixel.ceil_div("h").alias("nby"))
+    ok, fits = fr.encodes("w", "h", "d"), fr.decodes("w", "h", "d", fr.FrameFormat(W, H))
+    return d.select("w", "h", "d", ok.alias("encodes"), fits.alias("decodes"), pixel.max_packet_bytes("w", "h").alias("max_bytes"), pixel.align4(F.col("w") * 3).alias("stride"), pixel.ceil_div("w").alias("nbx"), pixel.ceil_div("h").alias("nby"))
+
+
+@query(
+    "SELECT p_partkey, CASE d WHEN 16 THEN 'word int' WHEN 32 THEN 'word bigint' ELSE 'r int, g int, b int' END AS pixel, loss = 0 AS lossless, CAST(w * h * 6 AS BIGINT) AS max_bytes, CAST((w * 3 + 3) // 4 * 4 AS BIGINT) AS stride"
+    " FROM (SELECT p_partkey, p_size AS w, p_size % 7 + 1 AS h, CASE p_partkey % 3 WHEN 0 THEN 16 WHEN 1 THEN 24 ELSE 32 END AS d, p_partkey % 4 AS loss FROM part)"
+)
+def a13_a145_output_formats(spark, sf_dir):
+    """Output schema and description of a codec for a format per part."""
+    import pandas as pd
+
+    def describe(batches):
+        for b in batches:
+            rows = []
+            for k, w, h, d, loss in zip(*(b[c] for c in ("p_partkey", "w", "h", "d", "loss")), strict=True):
+                f = fr.FrameFormat(w, h, d, loss=loss)
+                told = f.describe()
+                rows.append((k, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in f.output_schema().fields[3:]), told["lossless"], told["max_bytes"], f.stride()))
+            yield pd.DataFrame(rows, columns=["p_partkey", "pixel", "lossless", "max_bytes", "stride"])
+
+    k = F.col("p_partkey") % 3
+    d = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("w"), (F.col("p_size") % 7 + 1).alias("h"), F.when(k == 0, 16).when(k == 1, 24).otherwise(32).alias("d"), (F.col("p_partkey") % 4).cast("int").alias("loss"))
+    return d.mapInPandas(describe, "p_partkey long, pixel string, lossless boolean, max_bytes long, stride long")
 
 
 # Predicates
@@ -160,38 +175,48 @@ def a30_previous_match(spark, sf_dir):
     return diff.matched_pixels(_paired(spark, sf_dir))
 
 
-_MV = ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate(motion.priorities(16, 4)))
+_MV = ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate(motion.priorities()))
 
 
-@query(
-    _with(
-        " SELECT b.frame_id, b.brow, b.bx, b.bt + CASE WHEN v.dx IS NULL THEN 0 ELSE 2 END AS bt, b.x1, b.y1, b.x2, b.y2, CAST(v.dx AS INT) AS dx, CAST(v.dy AS INT) AS dy FROM blocks b LEFT JOIN best v USING (frame_id, brow, bx)",
-        _PAIR, *_BLOCKS,
-        f"disp AS (SELECT * FROM (VALUES {_MV}) t(prio, dx, dy))",
-        # Corner pixels first, then the whole rectangle by division.
-        f"cand AS (SELECT b.*, d.prio, d.dx, d.dy FROM blocks b, disp d WHERE b.x1 + d.dx >= 0 AND b.y1 + d.dy >= 0 AND b.x2 + d.dx <= {W} AND b.y2 + d.dy <= {H})",
-        "corner AS (SELECT c.* FROM cand c JOIN frames a ON a.frame_id = c.frame_id AND a.x = c.x1 AND a.y = c.y1 JOIN frames p ON p.frame_id = c.frame_id - 1 AND p.x = c.x1 + c.dx AND p.y = c.y1 + c.dy AND p.r = a.r AND p.g = a.g AND p.b = a.b)",
-        "full_ AS (SELECT c.frame_id, c.brow, c.bx, c.prio, any_value(c.dx) AS dx, any_value(c.dy) AS dy FROM corner c JOIN frames a ON a.frame_id = c.frame_id AND a.x >= c.x1 AND a.x < c.x2 AND a.y >= c.y1 AND a.y < c.y2"
-        " JOIN frames p ON p.frame_id = c.frame_id - 1 AND p.x = a.x + c.dx AND p.y = a.y + c.dy AND p.r = a.r AND p.g = a.g AND p.b = a.b GROUP BY c.frame_id, c.brow, c.bx, c.prio, c.x1, c.x2, c.y1, c.y2 HAVING count(*) = (c.x2 - c.x1) * (c.y2 - c.y1))",
-        "best AS (SELECT frame_id, brow, bx, arg_min(dx, prio) AS dx, arg_min(dy, prio) AS dy FROM full_ GROUP BY frame_id, brow, bx)",
-    )
+_MOTION = (
+    f"disp AS (SELECT * FROM (VALUES {_MV}) t(prio, dx, dy))",
+    # Corner pixels first, then the whole rectangle by division.
+    f"cand AS (SELECT b.*, d.prio, d.dx, d.dy FROM blocks b, disp d WHERE b.x1 + d.dx >= 0 AND b.y1 + d.dy >= 0 AND b.x2 + d.dx <= {W} AND b.y2 + d.dy <= {H})",
+    "corner AS (SELECT c.* FROM cand c JOIN frames a ON a.frame_id = c.frame_id AND a.x = c.x1 AND a.y = c.y1 JOIN frames p ON p.frame_id = c.frame_id - 1 AND p.x = c.x1 + c.dx AND p.y = c.y1 + c.dy AND p.r = a.r AND p.g = a.g AND p.b = a.b)",
+    "full_ AS (SELECT c.frame_id, c.brow, c.bx, c.prio, any_value(c.dx) AS dx, any_value(c.dy) AS dy FROM corner c JOIN frames a ON a.frame_id = c.frame_id AND a.x >= c.x1 AND a.x < c.x2 AND a.y >= c.y1 AND a.y < c.y2"
+    " JOIN frames p ON p.frame_id = c.frame_id - 1 AND p.x = a.x + c.dx AND p.y = a.y + c.dy AND p.r = a.r AND p.g = a.g AND p.b = a.b GROUP BY c.frame_id, c.brow, c.bx, c.prio, c.x1, c.x2, c.y1, c.y2 HAVING count(*) = (c.x2 - c.x1) * (c.y2 - c.y1))",
+    "best AS (SELECT frame_id, brow, bx, arg_min(dx, prio) AS dx, arg_min(dy, prio) AS dy FROM full_ GROUP BY frame_id, brow, bx)",
+    "moved AS (SELECT b.frame_id, b.brow, b.bx, b.bt + CASE WHEN v.dx IS NULL THEN 0 ELSE 2 END AS bt, b.x1, b.y1, b.x2, b.y2, CAST(v.dx AS INT) AS dx, CAST(v.dy AS INT) AS dy FROM blocks b LEFT JOIN best v USING (frame_id, brow, bx))",
 )
+
+
+@query(_with(" SELECT * FROM moved", _PAIR, *_BLOCKS, *_MOTION))
 def a25_a31_motion_vectors(spark, sf_dir):
-    """Motion search, with windows of 16 and 4 so that plain SQL can follow."""
+    """Motion search with its full windows (256 and 8)."""
     f = fr.scene_frames(spark, sf_dir)
-    return motion.with_motion_codes(motion.motion_vectors(fr.to_images(f), diff.changed_blocks(diff.with_previous(f)), 16, 4))
+    return motion.with_motion_codes(motion.motion_vectors(fr.to_images(f), diff.changed_blocks(diff.with_previous(f))))
+
+
+_SAME = "coalesce(lag(dx) OVER w = dx AND lag(dy) OVER w = dy, false)"
+
+
+@query(_with(f" SELECT *, {_SAME} AS same FROM moved WHERE dx IS NOT NULL WINDOW w AS (PARTITION BY frame_id ORDER BY brow, bx)", _PAIR, *_BLOCKS, *_MOTION))
+def a126_repeated_vectors(spark, sf_dir):
+    return motion.repeated_vectors(a25_a31_motion_vectors(spark, sf_dir))
 
 
 @query()
-def a31_motion_far(spark, sf_dir):
-    """The search with its full windows (256 and 8)."""
+def a32_reused_vectors(spark, sf_dir):
+    """The search that tries the last vector and that of the block above first."""
     f = fr.scene_frames(spark, sf_dir)
-    return motion.with_motion_codes(motion.motion_vectors(fr.to_images(f), diff.changed_blocks(diff.with_previous(f))))
+    return motion.with_motion_codes(motion.motion_vectors(fr.to_images(f), diff.changed_blocks(diff.with_previous(f)), reuse=True))
 
 
-@query()
-def a32_a126_repeated_vectors(spark, sf_dir):
-    return motion.repeated_vectors(a31_motion_far(spark, sf_dir))
+@query(_with(" SELECT * FROM blocks", _PAIR, *_BLOCKS))
+def a22_a133_image_blocks(spark, sf_dir):
+    """Changed blocks from whole images, each compared with the one before of its stream as arrays: no row per pixel is shuffled."""
+    images = fr.to_images(fr.scene_frames(spark, sf_dir)).withColumn("stream_id", F.lit("scenes"))
+    return diff.changed_blocks_of_images(images, stream="stream_id").drop("stream_id")
 
 
 @query(
@@ -336,11 +361,12 @@ def a73_block_type_rle(spark, sf_dir):
     return runs.capped_runs(d, "idx", F.col("bt"), ["frame_id"])
 
 
-@query(_with(" SELECT frame_id, brow, bx, bt FROM (SELECT frame_id, brow, bx, CASE WHEN x1 IS NULL THEN 0 WHEN x1 = a1 AND y1 = b1 AND x2 = a2 AND y2 = b2 THEN 1 ELSE 2 END AS bt FROM raw)", _PAIR, *_BLOCKS))
+@query(_with(" SELECT frame_id, string_agg(CAST(bt AS VARCHAR), '' ORDER BY brow, bx) AS types FROM (SELECT frame_id, brow, bx, CASE WHEN x1 IS NULL THEN 0 WHEN x1 = a1 AND y1 = b1 AND x2 = a2 AND y2 = b2 THEN 1 ELSE 2 END AS bt FROM raw) GROUP BY frame_id", _PAIR, *_BLOCKS))
 def a75_a82_block_type_expand(spark, sf_dir):
+    """Block types from their runs, in raster order."""
     d = runs.expand(a73_block_type_rle(spark, sf_dir).withColumn("value", F.struct("frame_id", "value")))
-    nbx = -(-W // 16)
-    return d.select("value.frame_id", F.floor(F.col("pos") / nbx).cast("int").alias("brow"), (F.col("pos") % nbx).cast("int").alias("bx"), F.col("value.value").alias("bt"))
+    placed = d.groupBy("value.frame_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("value.value").alias("bt")))).alias("p"))
+    return placed.select("frame_id", F.array_join(F.transform("p", lambda x: x.bt.cast("string")), "").alias("types"))
 
 
 def _key_masked(spark, sf_dir):
@@ -348,7 +374,35 @@ def _key_masked(spark, sf_dir):
     return m.where(F.col("pos") > W)
 
 
-@query()
+def _walk(keys: str, kinds: tuple[int, ...], masked: str) -> tuple[str, ...]:
+    """CTEs that step from run to run: ``masked`` has keys, i, pos, kind, f0 and f<k> for each predictor, and the channels."""
+    stops = ", ".join(f"min(CASE WHEN NOT f{k} THEN i END) OVER n AS s{k}" for k in (0, *kinds))
+    stop = " ".join(f"WHEN {k} THEN s{k}" for k in (0, *kinds))
+    on = " AND ".join(f"w.{k} = n.{k}" for k in keys.split(", "))
+    named = ", ".join(f"n.{k}" for k in keys.split(", "))
+    return (
+        f"masked AS MATERIALIZED ({masked})",
+        f"ends AS (SELECT *, {stops}, max(i) OVER (PARTITION BY {keys}) + 1 AS fin FROM masked WINDOW n AS (PARTITION BY {keys} ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))",
+        f"nexts AS MATERIALIZED (SELECT {keys}, i, pos, kind, r, g, b, least(coalesce(CASE kind {stop} END, fin), i + 255, fin) AS stop FROM ends)",
+        f"walk AS (SELECT {keys}, min(i) AS i, 0 AS seq FROM nexts GROUP BY {keys} UNION ALL SELECT {named}, n.stop AS i, w.seq + 1 AS seq FROM walk w JOIN nexts n ON {on} AND w.i = n.i JOIN (SELECT {keys}, max(stop) AS fin FROM nexts GROUP BY {keys}) z ON {on.replace('n.', 'z.')} WHERE n.stop < z.fin)",
+        f"walked AS (SELECT {named}, CAST(w.seq AS INT) AS seq, CAST(n.pos AS BIGINT) AS start, CAST(n.kind AS INT) AS ptype, CAST(n.stop - n.i AS INT) AS n, CASE WHEN n.kind = 0 THEN n.r END AS r, CASE WHEN n.kind = 0 THEN n.g END AS g, CASE WHEN n.kind = 0 THEN n.b END AS b FROM walk w JOIN nexts n ON {on} AND w.i = n.i)",
+    )
+
+
+_KEY_WALK = (_PAIR, _NEAR, *_walk("frame_id", (1, 5, 2, 4), f"SELECT frame_id, pos AS i, pos, r, g, b, {_KEY} AS kind, {_L} AS f0, {_L} AS f1, {_V} AS f5, {_U} AS f2, {_G} AS f4 FROM near WHERE pos > {W}"))
+_IN = "x > 0 AND y > 0 AND "
+_DELTA_WALK = (
+    _PAIR, _NEAR, *_BLOCKS,
+    *_walk(
+        "frame_id, brow, bx", (1, 3, 5, 2, 4),
+        f"SELECT frame_id, brow, bx, row_number() OVER s AS i, pos, r, g, b, {_DELTA} AS kind, coalesce(lag(r) OVER s = r AND lag(g) OVER s = g AND lag(b) OVER s = b, false) AS f0,"
+        f" {_IN}{_L} AS f1, {_P} AS f3, {_IN}{_V} AS f5, {_IN}{_U} AS f2, {_IN}{_G} AS f4 FROM near JOIN blocks USING (frame_id) WHERE y // 16 = brow AND x // 16 = bx AND x >= x1 AND x < x2 AND y >= y1 AND y < y2"
+        " WINDOW s AS (PARTITION BY frame_id, brow, bx ORDER BY pos)",
+    ),
+)
+
+
+@query(_with(" SELECT * FROM walked", *_KEY_WALK, recursive=True))
 def a71_greedy_runs_key(spark, sf_dir):
     """Greedy predictor runs of every frame taken as a keyframe."""
     return runs.greedy_runs(_key_masked(spark, sf_dir), ["frame_id"], False)
@@ -365,19 +419,19 @@ def _delta_masked(spark, sf_dir):
     return m.withColumn("fits", F.col("fits").bitwiseAND(F.lit(62)) + again.cast("int"))
 
 
-@query()
+@query(_with(" SELECT * FROM walked", *_DELTA_WALK, recursive=True))
 def a72_greedy_runs_delta(spark, sf_dir):
     return runs.greedy_runs(_delta_masked(spark, sf_dir), ["frame_id", "brow", "bx"], True)
 
 
-@query()
+@query(_with(" SELECT frame_id, brow, bx, seq, ptype, n FROM walked", *_DELTA_WALK, recursive=True))
 def a72_greedy_runs_native(spark, sf_dir):
     """The same fold inside Catalyst."""
     d = runs.block_greedy(_delta_masked(spark, sf_dir), ["frame_id", "brow", "bx"])
     return d.select("frame_id", "brow", "bx", F.posexplode("runs").alias("seq", "run")).select("frame_id", "brow", "bx", "seq", "run.ptype", "run.n")
 
 
-@query()
+@query(_with(" SELECT ptype, n, count(*) AS cnt FROM walked GROUP BY ptype, n", *_KEY_WALK, recursive=True))
 def a51_a151_run_lengths(spark, sf_dir):
     return a71_greedy_runs_key(spark, sf_dir).groupBy("ptype", "n").agg(F.count("*").alias("cnt"))
 
@@ -415,9 +469,9 @@ def a90_a98_scalars(spark, sf_dir):
 
 @query()
 def a100_a107_model_intervals(spark, sf_dir):
-    """Adaptive intervals of the events' numbers in the context of their type."""
-    e = _t(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("seq"), F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("sym"))
-    return model.adaptive_intervals(e, ["event_type"])
+    """Adaptive intervals of the events' numbers in the context of their type; statistics start anew with each segment of ids, as at keyframes."""
+    e = _t(spark, sf_dir, "events").select("event_type", F.floor(F.col("event_id") / 4096).alias("segment"), F.col("event_id").alias("seq"), F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("sym"))
+    return model.adaptive_intervals(e, ["event_type", "segment"])
 
 
 @query()
@@ -428,17 +482,19 @@ def a120_a125_entropy_blocks(spark, sf_dir):
     return entropy.entropy_blocks(iv.select("frame_id", "seq", "start", "freq")).select("frame_id", "block", "n", F.length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"))
 
 
-@query("SELECT event_type, count(*) AS n, true AS same FROM events GROUP BY event_type")
+@query("SELECT event_type, event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events")
 def a127_range_coder(spark, sf_dir):
-    """The events' numbers per type through the range coder and back, with counts that adapt (A45)."""
+    """The events' numbers through the range coder and back, with counts that adapt (A45), per type and block of ids."""
     import pyarrow as pa
 
-    def both(key: tuple, t: pa.Table) -> pa.Table:
-        syms = t.sort_by("event_id").column("k").to_pylist()
-        back = entropy.range_decode(entropy.range_encode(syms, 100, 400), len(syms), 100, 400)
-        return pa.table({"event_type": [key[0].as_py()], "n": [len(syms)], "same": [back == syms]})
+    def both(batches):
+        for _, t in by_key(batches, ["event_type", "block"]):
+            syms = t.column("k").to_pylist()
+            back = entropy.range_decode(entropy.range_encode(syms, 100, 400), len(syms), 100, 400)
+            yield pa.RecordBatch.from_arrays([t.column("event_type").combine_chunks(), t.column("event_id").combine_chunks(), pa.array(back, pa.int32())], names=["event_type", "event_id", "k"])
 
-    return _events_k(spark, sf_dir).groupBy("event_type").applyInArrow(both, "event_type string, n long, same boolean")
+    d = _events_k(spark, sf_dir).withColumn("block", F.floor(F.col("event_id") / 4096))
+    return d.repartition("event_type", "block").sortWithinPartitions("event_type", "block", "event_id").mapInArrow(both, "event_type string, event_id long, k int")
 
 
 _KEYS = (
@@ -465,6 +521,48 @@ def a02_a03_packets(spark, sf_dir):
     return _packets(spark, sf_dir).select("frame_id", "segment", "ftype", "size", codec.packet_type(F.ascii(F.substring("payload", 1, 1)), "size", F.col("ftype")).alias("inferred"))
 
 
+_FRAME_KEYS = (
+    "f AS (SELECT frame_id AS event_id, min(r) = max(r) AND min(g) = max(g) AND min(b) = max(b) AS flat FROM frames GROUP BY frame_id)",
+    "s AS (SELECT min(event_id) FILTER (WHERE NOT flat) AS f0 FROM f)",
+    "m AS (SELECT f.*, s.f0, max(CASE WHEN flat THEN event_id END) OVER (ORDER BY event_id) AS fat FROM f, s)",
+    f"k AS (SELECT event_id AS frame_id, flat OR (event_id - CASE WHEN fat > f0 OR f0 IS NULL OR event_id < f0 THEN fat ELSE f0 END) % {INTERVAL} = 0 AS is_key FROM m)",
+)
+_N = -(-W // 16)
+
+
+@query(
+    _with(
+        " SELECT channel, ctx, value, count(*) AS cnt FROM symbols GROUP BY ALL",
+        _PAIR, *_BLOCKS, *_MOTION, *_FRAME_KEYS,
+        "dm AS (SELECT v.*, x1 - bx * 16 AS e0, y1 - brow * 16 AS e1, x2 - 1 - bx * 16 AS e2, y2 - 1 - brow * 16 AS e3 FROM moved v JOIN k USING (frame_id) WHERE NOT is_key)",
+        f"span AS (SELECT frame_id, min(brow) * {_N} + min(bx) AS first, max(brow) * {_N} + max(bx) AS last FROM dm GROUP BY frame_id)",
+        f"typ AS (SELECT s.frame_id, i.idx, coalesce(d.bt, 0) AS bt FROM (SELECT frame_id, first, unnest(range(first, last + 1)) AS idx FROM span) i JOIN span s USING (frame_id) LEFT JOIN dm d ON d.frame_id = s.frame_id AND d.brow * {_N} + d.bx = i.idx)",
+        "chg AS (SELECT *, CASE WHEN lag(bt) OVER (PARTITION BY frame_id ORDER BY idx) = bt THEN 0 ELSE 1 END AS new FROM typ)",
+        "isl AS (SELECT frame_id, any_value(bt) AS bt, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY frame_id ORDER BY idx) AS island FROM chg) GROUP BY frame_id, island)",
+        f"vec AS (SELECT dx, dy, {_SAME} AS same FROM dm WHERE dx IS NOT NULL WINDOW w AS (PARTITION BY frame_id ORDER BY brow, bx))",
+        "symbols AS (SELECT 'index' AS channel, 0 AS ctx, CAST((v >> b) & 255 AS INT) AS value FROM (SELECT unnest([first, last]) AS v FROM span), (VALUES (0), (8), (16), (24)) t(b)"
+        " UNION ALL SELECT 'bt', 0, CAST(bt AS INT) FROM isl UNION ALL SELECT 'bn', 0, CAST(n AS INT) FROM isl"
+        " UNION ALL SELECT 'edge', CAST(t.c AS INT), CAST(CASE t.c WHEN 0 THEN e0 WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE e3 END AS INT) FROM dm, (VALUES (0), (1), (2), (3)) t(c) WHERE bt IN (2, 4)"
+        " UNION ALL SELECT 'flag', 0, CAST(same AS INT) FROM vec UNION ALL SELECT 'mv', 0, CAST(dx + 256 AS INT) FROM vec WHERE NOT same UNION ALL SELECT 'mv', 1, CAST(dy + 256 AS INT) FROM vec WHERE NOT same)",
+    )
+)
+def a153_a158_channel_histograms(spark, sf_dir):
+    """What the codec writes on the channels of changed regions, block types, rectangles and vectors, counted."""
+    f = fr.scene_frames(spark, sf_dir)
+    seg = sequence.keyframes(diff.flat_frames(f).withColumnRenamed("flat", "is_flat"), "frame_id", F.col("is_flat"), INTERVAL)
+    symbols = codec.symbols(fr.to_images(f), seg.select("frame_id", "segment", "is_key"))
+    return stats.histogram(symbols.where(F.col("channel").isin("index", "bt", "bn", "edge", "flag", "mv")), ["channel", "ctx"], "value")
+
+
+@query(_with(" SELECT * FROM (SELECT frame_id, y, x, r, g, b FROM frames)"))
+def a141_range_codec_roundtrip(spark, sf_dir):
+    """The round trip with the range coder in place of the other one."""
+    f = fr.scene_frames(spark, sf_dir)
+    seg = sequence.keyframes(diff.flat_frames(f).withColumnRenamed("flat", "is_flat"), "frame_id", F.col("is_flat"), INTERVAL)
+    packets = codec.encode(fr.to_images(f), seg.select("frame_id", "segment", "is_key"), coder="range")
+    return fr.from_images(codec.decode(packets, H, W, coder="range"))
+
+
 @query(_with(" SELECT * FROM (SELECT frame_id, y, x, r, g, b FROM frames)"))
 def a04_a64_codec_roundtrip(spark, sf_dir):
     """Frames encoded and decoded again: the original frames, pixel for pixel."""
@@ -489,3 +587,28 @@ def a132_stream_changes(spark, sf_dir):
     src = _t(spark, sf_dir, "events")
     e = spark.readStream.schema(src.schema).parquet(f"{sf_dir}/events.parque[t]").select("event_type", "event_id", "props")
     return drain(stream_changes(e, "event_type", "event_id", "props"), "changes")
+
+
+def _event_stream(spark, sf_dir, *columns):
+    src = _t(spark, sf_dir, "events")
+    return spark.readStream.schema(src.schema).parquet(f"{sf_dir}/events.parque[t]").select(*columns)
+
+
+_STATE = "SELECT *, lag(flat) OVER w AS pf, lag(k) OVER w AS pk, max(CASE WHEN is_key THEN 1 ELSE 0 END) OVER w AS opened FROM (SELECT user_id, event_id, event_type = 'error' AS flat, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) // 25 AS k, event_type IN ('error', 'purchase') AS is_key FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
+
+
+@query(f"SELECT user_id, event_id, is_key AND NOT (flat AND coalesce(pf AND pk = k, false)) AS resets, opened = 1 AS decodable FROM ({_STATE})")
+def a134_a135_stream_state(spark, sf_dir):
+    """Per user as a stream of frames: which keyframes reset the statistics (not a flat one like the flat one before), and which frames can be decoded (none before the first keyframe)."""
+    from rasterloom.streaming.keyframes import drain, stream_resets
+
+    e = _event_stream(spark, sf_dir, "user_id", "event_id", (F.col("event_type") == "error").alias("flat"), F.floor(F.regexp_extract("props", "([0-9]+)", 1).cast("int") / 25).cast("int").alias("colour"), F.col("event_type").isin("error", "purchase").alias("is_key"))
+    return drain(stream_resets(e, "user_id", "event_id"), "resets")
+
+
+@query("SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS seen, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS total FROM events")
+def a45_a133_stream_counts(spark, sf_dir):
+    """Adaptive counts as state of a stream: how often each symbol came before, and how many symbols came."""
+    from rasterloom.streaming.keyframes import drain, stream_counts
+
+    return drain(stream_counts(_event_stream(spark, sf_dir, "user_id", "event_id", "event_type"), "user_id", "event_id", "event_type"), "counts")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,10 @@ PACKET = T.StructType([T.StructField("frame_id", T.LongType()), T.StructField("s
 WIDTH, HEIGHT, EVENTS_PER_FRAME = 50, 38, 250
 
 
+#: Bits per pixel that can be coded.
+DEPTHS = (16, 24, 32)
+
+
 @dataclass(frozen=True)
 class FrameFormat:
     """Fixed description of a stream: size, bits per pixel, channel masks of 16-bit pixels, search ranges, loss."""
@@ -38,7 +42,7 @@ class FrameFormat:
 
     def can_encode(self) -> bool:
         """Uncompressed 16-, 24- or 32-bit pixels of a positive size."""
-        return self.depth in (16, 24, 32) and self.width > 0 and self.height > 0
+        return self.depth in DEPTHS and self.width > 0 and self.height > 0
 
     def can_decode(self, other: FrameFormat) -> bool:
         """Decoding needs equal width, height and depth."""
@@ -63,6 +67,16 @@ class FrameFormat:
         return {"name": "rasterloom", "lossless": self.loss == 0, "temporal": True, "quality": 10000, "max_bytes": self.max_bytes()}
 
 
+def encodes(width: str, height: str, depth: str) -> Column:
+    """:meth:`FrameFormat.can_encode` over columns."""
+    return F.col(depth).isin(*DEPTHS) & (F.col(width) > 0) & (F.col(height) > 0)
+
+
+def decodes(width: str, height: str, depth: str, own: FrameFormat) -> Column:
+    """:meth:`FrameFormat.can_decode` of the format ``own`` over columns."""
+    return encodes(width, height, depth) & (F.col(width) == own.width) & (F.col(height) == own.height) & (F.col(depth) == own.depth)
+
+
 def scene_sql(dialect: str, events: str = "events") -> str:
     """SQL of a frame table built from all rows of ``events``, in integers only.
 

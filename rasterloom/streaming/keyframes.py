@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -61,6 +62,48 @@ def stream_changes(frames: DataFrame, key: str, order: str, payload: str) -> Dat
     return hashed.groupBy(key).applyInPandasWithState(compare, f"{key} {types[key]}, {order} {types[order]}, changed boolean", "h string", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_resets(frames: DataFrame, key: str, order: str) -> DataFrame:
+    """Streaming rows (key, order, resets, decodable) of frames with columns is_key, flat and colour, state per stream.
+
+    A keyframe resets the statistics unless it is flat and the frame before was
+    flat in the same colour. Frames before a stream's first keyframe cannot be
+    decoded.
+    """
+    types = dict(frames.dtypes)
+
+    def decide(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, last_flat, last_colour = state.get if state.exists else (False, False, 0)
+        d = pd.concat(list(batches)).sort_values(order)
+        out = []
+        for o, is_key, flat, colour in zip(d[order], d["is_key"], d["flat"], d["colour"], strict=True):
+            opened = opened or bool(is_key)
+            out.append((k[0], o, bool(is_key) and not (flat and last_flat and colour == last_colour), opened))
+            last_flat, last_colour = bool(flat), int(colour)
+        state.update((opened, last_flat, last_colour))
+        yield pd.DataFrame(out, columns=[key, order, "resets", "decodable"])
+
+    rows = frames.select(key, order, "is_key", "flat", "colour")
+    return rows.groupBy(key).applyInPandasWithState(decide, f"{key} {types[key]}, {order} {types[order]}, resets boolean, decodable boolean", "opened boolean, flat boolean, colour int", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_counts(symbols: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Streaming rows (key, order, value, seen, total): the adaptive counts that a symbol meets, state per stream."""
+    types = dict(symbols.dtypes)
+
+    def count(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts = dict(state.get[0]) if state.exists else {}
+        d = pd.concat(list(batches)).sort_values(order)
+        out, total = [], sum(counts.values())
+        for o, v in zip(d[order], d[value], strict=True):
+            out.append((k[0], o, v, counts.get(v, 0), total))
+            counts[v], total = counts.get(v, 0) + 1, total + 1
+        state.update((counts,))
+        yield pd.DataFrame(out, columns=[key, order, value, "seen", "total"])
+
+    ddl = f"{key} {types[key]}, {order} {types[order]}, {value} {types[value]}, seen long, total long"
+    return symbols.select(key, order, value).groupBy(key).applyInPandasWithState(count, ddl, f"counts map<{types[value]}, bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(events: DataFrame, ts: str, kind: str, late: str = "1 hour", width: str = "6 hours") -> DataFrame:
     """Tumbling counts with a watermark; ``ts`` is cast, since watermarks refuse time stamps without a zone."""
     e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
@@ -72,6 +115,8 @@ def drain(stream: DataFrame, name: str = "stream") -> DataFrame:
     spark: SparkSession = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="rasterloom-")
         atexit.register(shutil.rmtree, base, True)
     out, at = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", f"{base.rstrip('/')}/{name}-state-{uuid.uuid4().hex}"
