@@ -85,12 +85,22 @@ class Quantiser:
             a, b = np.nonzero(may)
             yield s, a + s.start, b
 
-    def lookup(self, x: np.ndarray, k: int, codes: np.ndarray) -> np.ndarray:
-        """Distances from ``x`` to what ``codes`` of list ``k`` stand for, by tables."""
-        rest, out = x - self.lists[k], np.zeros((len(x), len(codes)), dtype=np.float32)
+    def tables(self, x: np.ndarray) -> np.ndarray:
+        """Inner products of each row with every code of every subspace: (row, subspace, code), the same for all lists."""
+        return np.stack([x[:, a:b] @ book.T for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)], axis=1).astype(np.float32)
+
+    def lookup(self, x: np.ndarray, tables: np.ndarray, k: int, codes: np.ndarray) -> np.ndarray:
+        """Distances from ``x`` to what ``codes`` of list ``k`` stand for, by tables.
+
+        With centroid c and code parts b, |x - c - b|² = |x - c|² + |b|² + 2 c b - 2 x b.
+        """
+        out = np.zeros((len(x), len(codes)), dtype=np.float32)
+        own = np.zeros(len(codes))
         for s, book in enumerate(self.books):
-            out += distances2(rest[:, self.cuts[s] : self.cuts[s + 1]], book).astype(np.float32)[:, codes[:, s]]
-        return np.sqrt(out)
+            out += tables[:, s][:, codes[:, s]]
+            own += ((book * book).sum(axis=1) + 2 * book @ self.lists[k, self.cuts[s] : self.cuts[s + 1]])[codes[:, s]]
+        rest = ((x - self.lists[k]) ** 2).sum(axis=1)
+        return np.sqrt(np.maximum(0, rest[:, None] + own[None] - 2 * out))
 
 
 def fit_quantiser(rows: DataFrame, n: int, most: int, per_list: int = PER_LIST) -> Quantiser:
@@ -196,6 +206,9 @@ class _Rows:
         """Pairs of a row of ``left`` with one of ``right`` whose list it asks or, if ``same``, shares."""
         on_left = np.zeros(len(self.x), dtype=bool)
         on_left[left] = True
+        slot = np.zeros(len(self.x), dtype=int)
+        slot[left] = np.arange(len(left))
+        tables = q.tables(self.x[left])
         for k in np.unique(self.lists[right]):
             these = right[self.lists[right] == k]
             codes = np.frombuffer(b"".join(self.code[p] for p in these), dtype=np.uint8).reshape(len(these), -1)
@@ -205,7 +218,7 @@ class _Rows:
                 asking = np.concatenate([left[self.lists[left] == k], asking])
             for at in range(0, len(asking), 256):
                 some = asking[at : at + 256]
-                may = q.lookup(self.x[some], k, codes) <= within + self.err[these] + 1e-4
+                may = q.lookup(self.x[some], tables[slot[some]], k, codes) <= within + self.err[these] + 1e-4
                 if left is right:  # each pair of a list once
                     may &= (self.lists[some] != k)[:, None] | (some[:, None] < these[None])
                 a, b = np.nonzero(may)

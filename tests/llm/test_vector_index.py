@@ -116,7 +116,9 @@ def test_embedding_dedup_codes_keep_partners_and_drop_the_rest():
     within, kept, all_ = np.sqrt(2 - 2 * 0.93), 0, 0
     for k in range(20):
         right = np.flatnonzero(own == k)
-        may = q.lookup(x, k, codes[right]) <= within + err[right] + 1e-4
+        may = q.lookup(x, q.tables(x), k, codes[right]) <= within + err[right] + 1e-4
+        stand = lists[k] + np.concatenate([q.books[s][codes[right, s]] for s in range(16)], axis=1)
+        assert np.allclose(q.lookup(x[:50], q.tables(x[:50]), k, codes[right]), np.linalg.norm(x[:50, None] - stand[None], axis=2), atol=1e-4)
         assert not (~may & (x @ x[right].T >= 0.93)).any()
         kept, all_ = kept + may.sum(), all_ + may.size
     assert kept / all_ < 0.02
