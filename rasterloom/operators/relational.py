@@ -1,4 +1,4 @@
-"""Relational forms that Spark has no single operator for: as-of join, bucketed range join, top k per group."""
+"""Relational forms that Spark has no single operator for: as-of, range, band and interval joins, top k per group, salted aggregation."""
 
 from __future__ import annotations
 
@@ -38,3 +38,41 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high:
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows per group; ranks are limited before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def band_join(left: DataFrame, right: DataFrame, by: list[str], at: str, other: str, low: int, high: int) -> DataFrame:
+    """Rows with equal ``by`` and ``at + low <= other <= at + high`` (integers): an equi-join on (by, bucket), then the test.
+
+    Buckets are as wide as the band, so each left row looks into two of them,
+    whatever a key's number of rows.
+    """
+    width = max(1, high - low + 1)
+    bucket = lambda c: F.floor(c / width).cast("long")
+    first = bucket(F.col(at) + low)
+    a = left.withColumn("__b", F.explode(F.array_distinct(F.array(first, bucket(F.col(at) + high)))))
+    b = right.withColumn("__b", bucket(F.col(other)))
+    return a.join(b, [*by, "__b"]).where((F.col(other) >= F.col(at) + low) & (F.col(other) <= F.col(at) + high)).drop("__b")
+
+
+def interval_join(left: DataFrame, right: DataFrame, by: list[str], span: tuple[str, str], other: tuple[str, str], width: int) -> DataFrame:
+    """Rows with equal ``by`` whose half-open spans overlap: an equi-join on (by, bucket), each pair once.
+
+    A span is copied to the buckets of ``width`` that it touches; a pair counts
+    in the bucket where the later of the two begins. Empty spans overlap nothing.
+    """
+    (a1, a2), (b1, b2) = span, other
+    bucket = lambda c: F.floor(c / width).cast("long")
+    spread = lambda d, lo, hi: d.where(F.col(lo) < F.col(hi)).withColumn("__b", F.explode(F.sequence(bucket(F.col(lo)), bucket(F.col(hi) - 1))))
+    d = spread(left, a1, a2).join(spread(right, b1, b2), [*by, "__b"])
+    return d.where((F.col(a1) < F.col(b2)) & (F.col(b1) < F.col(a2)) & (F.col("__b") == bucket(F.greatest(a1, b1)))).drop("__b")
+
+
+#: How partial results of an aggregate combine.
+_COMBINE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+
+
+def salted_aggregate(df: DataFrame, by: list[str], row: str, what: dict[str, tuple[str, str]], salts: int = 64) -> DataFrame:
+    """Aggregates (name to (count, sum, min or max; column)) in two steps: per (by, salt of ``row``), then per ``by``."""
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(salts)))
+    part = salted.groupBy(*by, "__salt").agg(*(getattr(F, how)(c).alias(name) for name, (how, c) in what.items()))
+    return part.groupBy(*by).agg(*(_COMBINE[how](name).alias(name) for name, (how, _) in what.items()))

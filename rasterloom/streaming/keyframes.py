@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -110,15 +111,27 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, late: str = "1 hour",
     return e.groupBy(F.window(ts, width), kind).agg(F.count("*").alias("n"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset and the master is local, a temporary folder of this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    base = tempfile.mkdtemp(prefix="rasterloom-")
+    atexit.register(shutil.rmtree, base, True)
+    return base
+
+
 def drain(stream: DataFrame, name: str = "stream") -> DataFrame:
     """Run ``stream`` over what there is, into Parquet in the shared folder, and read that."""
     spark: SparkSession = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="rasterloom-")
-        atexit.register(shutil.rmtree, base, True)
-    out, at = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", f"{base.rstrip('/')}/{name}-state-{uuid.uuid4().hex}"
+    base = shared_folder(spark)
+    out, at = f"{base}/{name}-{uuid.uuid4().hex}", f"{base}/{name}-state-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
