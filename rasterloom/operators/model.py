@@ -232,9 +232,9 @@ class Models:
         return out
 
 
-def fold(symbols: list[int]) -> tuple[list[int], list[int], list[int]]:
+def fold(symbols: list[int], alphabet: int | None = None) -> tuple[list[int], list[int], list[int]]:
     """(start, freq, kind) of each of the symbols of one context, in order; freq 0 where the symbol is raw."""
-    model, start, freq, kind = Singles(), [], [], []
+    model, start, freq, kind = Singles() if alphabet is None else Large.even(alphabet), [], [], []
     for s in symbols:
         table = model.table
         start.append(s if table is None else int(table[s]))
@@ -244,11 +244,12 @@ def fold(symbols: list[int]) -> tuple[list[int], list[int], list[int]]:
     return start, freq, kind
 
 
-def adaptive_intervals(symbols, keys: list[str]):
+def adaptive_intervals(symbols, keys: list[str], alphabet: int | None = None):
     """Intervals of symbols in their contexts: rows (keys..., seq, sym, start, freq, kind).
 
     Contexts never interact when encoding, so each folds on its own, in order of
-    seq; ``symbols`` has keys, seq and sym (0..255). Sorted contexts stream
+    seq; ``symbols`` has keys, seq and sym (0..255, or below ``alphabet`` where
+    that is fixed). Sorted contexts stream
     through each task, one at a time; let ``keys`` hold the segment, since
     statistics start anew at each keyframe.
     """
@@ -258,7 +259,7 @@ def adaptive_intervals(symbols, keys: list[str]):
 
     def run(batches):
         for _, t in by_key(batches, keys):
-            told = fold(t.column("sym").to_pylist())
+            told = fold(t.column("sym").to_pylist(), alphabet)
             yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in names), *(pa.array(v, pa.int32()) for v in told)], names=[*names, "start", "freq", "kind"])
 
     ddl = ", ".join(f"{k} {types[k]}" for k in names) + ", start int, freq int, kind int"

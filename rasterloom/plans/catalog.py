@@ -467,6 +467,65 @@ def a90_a98_scalars(spark, sf_dir):
 # Models, coding, codec
 
 
+def _modelled(spark, sf_dir, length: int, sym, alphabet: int | None = None):
+    """Intervals of a symbol per event, statistics anew every ``length`` ids."""
+    e = _t(spark, sf_dir, "events").select(F.floor(F.col("event_id") / length).alias("segment"), F.col("event_id").alias("seq"), sym.cast("int").alias("sym"))
+    return model.adaptive_intervals(e, ["segment"], alphabet)
+
+
+def _numbered(length: int, sym: str) -> str:
+    return f"WITH n AS (SELECT event_id // {length} AS segment, event_id AS seq, CAST({sym} AS INT) AS sym, row_number() OVER (PARTITION BY event_id // {length} ORDER BY event_id) - 1 AS k FROM events), r AS (SELECT *, max(CASE WHEN k = 0 THEN sym END) OVER (PARTITION BY segment) AS again FROM n)"
+
+
+_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+
+
+@query(
+    _numbered(370, "event_id * 7 % 251")
+    # 251 different symbols are listed raw, and so is the first that repeats; then each has 16 of 4096, that one 32.
+    + " SELECT segment, seq, sym, CAST(CASE WHEN k <= 251 THEN sym ELSE sym * 16 + CASE WHEN again < sym THEN 16 ELSE 0 END END AS INT) AS start, CAST(CASE WHEN k <= 251 THEN 0 WHEN sym = again THEN 32 ELSE 16 END AS INT) AS freq,"
+    " CAST(CASE WHEN k = 0 THEN 0 WHEN k <= 14 THEN 1 WHEN k <= 64 THEN 2 WHEN k <= 251 THEN 3 ELSE 7 END AS INT) AS kind FROM r"
+)
+def a100_a103_a107_list_models(spark, sf_dir):
+    return _modelled(spark, sf_dir, 370, F.col("event_id") * 7 % 251)
+
+
+@query(
+    _numbered(60, f"{_K} % 4 * 60 + 5")
+    + ", x AS (SELECT n.*, v, 50 * coalesce(sum(CASE WHEN sym = v THEN 1 ELSE 0 END) OVER w, 0) AS c, coalesce(max(CASE WHEN sym = v THEN k END) OVER w, 1000) AS last FROM n, (VALUES (5), (65), (125), (185)) s(v)"
+    " WINDOW w AS (PARTITION BY segment, v ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),"
+    " t AS (SELECT segment, seq, sym, k, sum(c) + 256 - count(*) FILTER (WHERE c > 0) AS total, arg_min(v, (-c, last)) AS fav, sum(c) FILTER (WHERE v < sym) AS below, count(*) FILTER (WHERE v < sym AND c > 0) AS d, max(c) FILTER (WHERE v = sym) AS own, bool_or(c > 50) AS counted FROM x GROUP BY ALL),"
+    " u AS (SELECT *, CASE WHEN total > 2048 THEN 0 WHEN total > 1024 THEN 1 WHEN total > 512 THEN 2 ELSE 3 END AS shift FROM t),"
+    " b AS (SELECT *, CAST((4096 - total * (1 << shift)) // (1 << shift) AS BIGINT) AS bonus FROM u)"
+    " SELECT segment, seq, sym, CAST(CASE WHEN NOT counted THEN sym ELSE (coalesce(below, 0) + sym - d + CASE WHEN fav < sym THEN bonus ELSE 0 END) * (1 << shift) END AS INT) AS start,"
+    " CAST(CASE WHEN NOT counted THEN 0 ELSE (greatest(own, 1) + CASE WHEN fav = sym THEN bonus ELSE 0 END) * (1 << shift) END AS INT) AS freq, CAST(CASE WHEN counted THEN 4 WHEN k = 0 THEN 0 ELSE 1 END AS INT) AS kind FROM b"
+)
+def a104_small_model(spark, sf_dir):
+    """Up to four symbols: 50 for each time they came, 1 for all others, doubled past half the scale, the rest to the favourite."""
+    return _modelled(spark, sf_dir, 60, F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 4 * 60 + 5)
+
+
+@query(
+    _numbered(80, "event_id % 30 * 5")
+    # 30 listed symbols weigh 32 each, the one that repeated 64, all others 1; doubled once, then frozen.
+    + " SELECT segment, seq, sym, CAST(CASE WHEN k <= 30 THEN sym ELSE 2 * (sym - sym // 5 + 32 * (sym // 5) + CASE WHEN again < sym THEN 32 ELSE 0 END) END AS INT) AS start, CAST(CASE WHEN k <= 30 THEN 0 WHEN sym = again THEN 128 ELSE 64 END AS INT) AS freq,"
+    " CAST(CASE WHEN k = 0 THEN 0 WHEN k <= 14 THEN 1 WHEN k <= 30 THEN 2 ELSE 6 END AS INT) AS kind FROM r"
+)
+def a106_middle_model(spark, sf_dir):
+    return _modelled(spark, sf_dir, 80, F.col("event_id") % 30 * 5)
+
+
+@query(
+    _numbered(200, f"{_K} % 6")
+    # Even shares of 682 for 128 symbols, then the counts: half a share and 16 for each time.
+    + ", c AS (SELECT segment, v, 341 + 16 * count(*) FILTER (WHERE sym = v) AS f FROM n, (VALUES (0), (1), (2), (3), (4), (5)) s(v) WHERE k < 128 GROUP BY segment, v),"
+    " cum AS (SELECT *, coalesce(sum(f) OVER (PARTITION BY segment ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c)"
+    " SELECT n.segment, seq, sym, CAST(CASE WHEN k < 128 THEN sym * 682 ELSE s END AS INT) AS start, CAST(CASE WHEN k < 128 THEN 682 ELSE f END AS INT) AS freq, CAST(7 AS INT) AS kind FROM n JOIN cum ON cum.segment = n.segment AND v = sym"
+)
+def a108_fixed_model(spark, sf_dir):
+    return _modelled(spark, sf_dir, 200, F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 6, 6)
+
+
 @query()
 def a100_a107_model_intervals(spark, sf_dir):
     """Adaptive intervals of the events' numbers in the context of their type; statistics start anew with each segment of ids, as at keyframes."""

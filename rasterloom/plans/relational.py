@@ -9,6 +9,7 @@ from rasterloom.functions import udfs
 from rasterloom.operators.relational import as_of_join, band_join, interval_join, range_join, salted_aggregate, top_k
 from rasterloom.plans.catalog import _event_stream, _t, query
 from rasterloom.sources import files
+from rasterloom.sources.datasource import TestFrames
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -261,3 +262,10 @@ def b_file_formats(spark, sf_dir):
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+@query("SELECT f AS frame_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST((7 * x + 3 * y + 5 * f) % 256 AS INT) AS r, CAST((x + 11 * y + f) % 256 AS INT) AS g, CAST((x * y + 2 * f) % 256 AS INT) AS b FROM range(12) a(f), range(38) c(y), range(50) d(x)")
+def b_data_source(spark, sf_dir):
+    """Frames from the library's own data source."""
+    spark.dataSource.register(TestFrames)
+    return spark.read.format("testframes").options(frames=12).load()

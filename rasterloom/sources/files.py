@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from rasterloom.streaming.keyframes import shared_folder
 
 FORMATS = ("csv", "json", "orc", "parquet")
-_OPTIONS = {"csv": {"header": "true", "escape": '"', "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}, "json": {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}}
+_OPTIONS = {"csv": {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}, "json": {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}}
 
 
 def write_table(df: DataFrame, path: str, kind: str, partition_by: tuple[str, ...] = ()) -> None:
