@@ -19,7 +19,7 @@ from rasterloom.functions.pixel import BLOCK_EDGE, RUN_CAP
 from rasterloom.operators.entropy import CODERS, SymbolReader, encode_blocks
 from rasterloom.operators.model import SCALE, Models
 from rasterloom.operators.motion import find_vector
-from rasterloom.operators.predict import DELTA_ORDER, GRADIENT, KEY_ORDER, LEFT, LITERAL, PREVIOUS, UP, UP_LEFT
+from rasterloom.operators.predict import DELTA_ORDER, GRADIENT, KEY_ORDER, LEFT, LITERAL, PREVIOUS, UP, UP_LEFT, fits_of_image
 from rasterloom.operators.runs import greedy_fold
 
 #: Version, packet tags, fixed alphabets by channel (colours are adaptive bytes).
@@ -41,29 +41,6 @@ def _pack(a: np.ndarray) -> np.ndarray:
     return a[..., 0] << 16 | a[..., 1] << 8 | a[..., 2]
 
 
-def _fits(a: np.ndarray, prev: np.ndarray | None) -> dict[int, np.ndarray]:
-    """Where each predictor fits, over a whole frame."""
-    h, w, _ = a.shape
-    flat = a.reshape(-1, 3).astype(np.int32)
-    n, none = h * w, np.full((h * w, 3), -9999)
-
-    def back(k: int) -> np.ndarray:
-        out = none.copy()
-        if n > k:
-            out[k:] = flat[:-k]
-        return out
-
-    x, y = np.arange(n) % w, np.arange(n) // w
-    left, up, corner = back(1), back(w), back(w + 1)
-    corner[x == 0] = -9999
-    same = lambda b: (flat == b).all(axis=1)
-    out = {LEFT: same(left), UP: same(up), UP_LEFT: same(corner), GRADIENT: same(left + up - corner) & (x > 0) & (y > 0)}
-    if prev is not None:
-        edge = (x == 0) | (y == 0)
-        out = {k: v & ~edge for k, v in out.items()} | {PREVIOUS: same(prev.reshape(-1, 3).astype(np.int32))}
-    return {k: v.reshape(h, w) for k, v in out.items()}
-
-
 class SegmentCodec:
     """State of one segment: statistics and the frame before."""
 
@@ -123,7 +100,7 @@ class SegmentCodec:
                 out.append(("n", LITERAL, min(RUN_CAP, e - at)))
                 older, newer = int(flat[at][1]), int(flat[at][2])
         if n > head:
-            fits = _fits(a, None)
+            fits = fits_of_image(a, None)
             mask = sum((fits[k].reshape(-1).astype(np.int64) << k for k in KEY_ORDER), fits[LEFT].reshape(-1).astype(np.int64))
             types, lengths = greedy_fold(mask[head:], False)
             at, last = head, 0
@@ -159,7 +136,7 @@ class SegmentCodec:
                 n += 1
             out += [("bt", 0, codes[at]), ("bn", 0, n)]
             at += n
-        fits, vector = _fits(a, self.prev), (0, 0)
+        fits, vector = fits_of_image(a, self.prev), (0, 0)
         for k in sorted(blocks):
             code, (x1, y1, x2, y2), mv = blocks[k]
             ox, oy = k % self.nbx * e, k // self.nbx * e
@@ -229,8 +206,16 @@ class SegmentCodec:
             t = r.symbol("type", last)
             c = self._read_colour(r, int(p[at - 1][1]), int(p[at - 1][2])) if t == LITERAL else None
             m = r.symbol("n", t)
-            for k in range(at, at + m):
-                p[k] = c if t == LITERAL else p[k - 1] if t == LEFT else p[k - w] if t == UP else p[k - w - 1] if t == UP_LEFT else p[k - 1] + p[k - w] - p[k - w - 1]
+            for a in range(at, at + m, w):  # what a part of one width looks back to is decoded
+                b = min(a + w, at + m)
+                if t in (LITERAL, LEFT):
+                    p[a:b] = c if t == LITERAL else p[a - 1]
+                elif t == UP:
+                    p[a:b] = p[a - w : b - w]
+                elif t == UP_LEFT:
+                    p[a:b] = p[a - w - 1 : b - w - 1]
+                else:
+                    p[a:b] = p[a - 1] + np.cumsum(p[a - w : b - w] - p[a - w - 1 : b - w - 1], axis=0)
             at, last = at + m, t
         return p.astype(np.uint8).reshape(self.h, w, 3)
 
@@ -256,19 +241,26 @@ class SegmentCodec:
                     vector = r.symbol("mv", 0) - self.far, r.symbol("mv", 1) - self.far
                 a[y1:y2, x1:x2] = prev[y1 + vector[1] : y2 + vector[1], x1 + vector[0] : x2 + vector[0]]
                 continue
-            places = [(y, x) for y in range(y1, y2) for x in range(x1, x2)]
-            at, was, before = 0, 0, (0, 0, 0)
-            while at < len(places):
+            at, was, before, side = 0, 0, (0, 0, 0), x2 - x1
+            while at < side * (y2 - y1):
                 t = r.symbol("type", was)
                 c = self._read_colour(r, int(before[1]), int(before[2])) if t == LITERAL else None
-                m = r.symbol("n", t)
-                for y, x in places[at : at + m]:
-                    a[y, x] = (
-                        c if t == LITERAL else a[y, x - 1] if t == LEFT else a[y - 1, x] if t == UP else prev[y, x] if t == PREVIOUS
-                        else a[y - 1, x - 1] if t == UP_LEFT else a[y, x - 1] + a[y - 1, x] - a[y - 1, x - 1]
-                    )
-                at, was = at + m, t
-                before = a[places[at - 1]]
+                end = at + r.symbol("n", t)
+                while at < end:  # row by row of the rectangle
+                    y, xa = y1 + at // side, x1 + at % side
+                    xb = min(x2, xa + end - at)
+                    if t in (LITERAL, LEFT):
+                        a[y, xa:xb] = c if t == LITERAL else a[y, xa - 1]
+                    elif t == PREVIOUS:
+                        a[y, xa:xb] = prev[y, xa:xb]
+                    elif t == UP:
+                        a[y, xa:xb] = a[y - 1, xa:xb]
+                    elif t == UP_LEFT:
+                        a[y, xa:xb] = a[y - 1, xa - 1 : xb - 1]
+                    else:
+                        a[y, xa:xb] = a[y, xa - 1] + np.cumsum(a[y - 1, xa:xb] - a[y - 1, xa - 1 : xb - 1], axis=0)
+                    at += xb - xa
+                was, before = t, a[y, xb - 1]
         return a.astype(np.uint8)
 
 

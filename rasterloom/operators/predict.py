@@ -6,6 +6,10 @@ Predictor types (fixed values): 0 literal, 1 left, 2 up, 3 previous frame,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +90,53 @@ def colour_contexts(frames: DataFrame, width: int) -> DataFrame:
     newer, older = F.coalesce(F.lag("sym", 1).over(w), F.lit(0)), F.coalesce(F.lag("sym", 2).over(w), F.lit(0))
     ctx = F.shiftleft(F.shiftright(older, 2), 6) + F.shiftright(newer, 2)
     return d.select("frame_id", "seq", "channel", ctx.alias("ctx"), "sym")
+
+
+def fits_of_image(a: np.ndarray, prev: np.ndarray | None) -> dict[int, np.ndarray]:
+    """Where each predictor fits, over a whole (h, w, 3) image; with ``prev``, as in delta frames."""
+    h, w, _ = a.shape
+    flat = a.reshape(-1, 3).astype(np.int32)
+    n, none = h * w, np.full((h * w, 3), -9999)
+
+    def back(k: int) -> np.ndarray:
+        out = none.copy()
+        if n > k:
+            out[k:] = flat[:-k]
+        return out
+
+    x, y = np.arange(n) % w, np.arange(n) // w
+    left, up, corner = back(1), back(w), back(w + 1)
+    corner[x == 0] = -9999
+    same = lambda b: (flat == b).all(axis=1)
+    out = {LEFT: same(left), UP: same(up), UP_LEFT: same(corner), GRADIENT: same(left + up - corner) & (x > 0) & (y > 0)}
+    if prev is not None:
+        edge = (x == 0) | (y == 0)
+        out = {k: v & ~edge for k, v in out.items()} | {PREVIOUS: same(prev.reshape(-1, 3).astype(np.int32))}
+    return {k: v.reshape(h, w) for k, v in out.items()}
+
+
+def choose_of_images(images: DataFrame, stream: str, delta: bool) -> DataFrame:
+    """(``stream``, frame_id, y, x, ptype) from images (``stream``, frame_id, height, width, pixels), any number of streams.
+
+    The same choice as :func:`choose_key` (null for the first row and one pixel)
+    or, with ``delta``, :func:`choose_delta` of frames that have one before of
+    their size. Images meet the one before by a join of whole images; pixels are
+    compared as arrays and never shuffled or sorted.
+    """
+    kind = dict(images.dtypes)[stream]
+    d = images.select(stream, "frame_id", "height", "width", "pixels")
+    if delta:
+        d = d.join(images.select(stream, (F.col("frame_id") + 1).alias("frame_id"), "height", "width", F.col("pixels").alias("before")), [stream, "frame_id", "height", "width"])
+    order = DELTA_ORDER if delta else KEY_ORDER
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, (h, w, p) in enumerate(zip(*(b.column(c).to_pylist() for c in ("height", "width", "pixels")), strict=True)):
+                image = lambda q: np.frombuffer(q, dtype=np.uint8).reshape(h, w, 3)  # noqa: B023, E731
+                fits = fits_of_image(image(p), image(b.column("before")[n].as_py()) if delta else None)
+                out = np.select([fits[k].ravel() for k in order], order, LITERAL).astype(np.int32)
+                at = np.arange(h * w, dtype=np.int32)
+                t = b.select([stream, "frame_id"]).take(pa.array(np.full(h * w, n)))
+                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(at // w), pa.array(at % w), pa.array(out, mask=None if delta else at <= w)], names=[stream, "frame_id", "y", "x", "ptype"])
+
+    return d.mapInArrow(choose, f"{stream} {kind}, frame_id long, y int, x int, ptype int")

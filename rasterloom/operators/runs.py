@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.pixel import RUN_CAP
 from rasterloom.operators.predict import DELTA_ORDER, KEY_ORDER
-from rasterloom.operators.sequence import dense
+from rasterloom.operators.sequence import carry, dense
 
 _RANK = {False: KEY_ORDER, True: DELTA_ORDER}
 
@@ -37,20 +37,19 @@ def global_runs(df: DataFrame, order: str, value: Column, cap: int = RUN_CAP, wi
 
     The ids ``order`` may have gaps: runs are cut by row number, and ``start``
     is the id of a run's first row. Blocks of ``width`` rows find their own
-    changes; only one row per block meets in one place to learn where the island
-    that enters the block began; that number is rows / ``width``.
+    changes; one row per block learns where the island that enters the block
+    began (:func:`carry`).
     """
     d = dense(df.select(F.col(order).alias("id"), value.alias("value")), "id", "o").withColumn("blk", F.floor(F.col("o") / width).cast("long"))
     w = Window.partitionBy("blk").orderBy("o")
     d = d.withColumn("new", F.when(F.lag("value").over(w).eqNullSafe(F.col("value")) & F.lag(F.lit(1)).over(w).isNotNull(), F.lit(None)).otherwise(F.col("o")))
     # Heads of blocks count as changes for now; whether they are is settled on one row per block.
     edge = d.groupBy("blk").agg(F.min_by("value", "o").alias("first"), F.max_by("value", "o").alias("last"), F.min("o").alias("at"), F.max("new").alias("begin"), F.countDistinct("new").alias("islands"))
-    g = Window.orderBy("blk")
-    joined = F.lag("last").over(g).eqNullSafe(F.col("first")) & F.lag("blk").over(g).isNotNull()
-    edge = edge.withColumn("goes_on", joined)
-    # An island that crosses blocks began where the last block that did not merely continue it has its last change.
-    own = F.when((F.col("islands") > 1) | ~F.col("goes_on"), F.col("begin"))
-    edge = edge.withColumn("entry", F.last(own, ignorenulls=True).over(g.rowsBetween(Window.unboundedPreceding, -1)))
+    ahead = edge.select((F.col("blk") + 1).alias("blk"), F.col("last").alias("before"), F.lit(True).alias("known"))
+    edge = edge.join(ahead, "blk", "left").withColumn("goes_on", F.coalesce("known", F.lit(False)) & F.col("before").eqNullSafe(F.col("first")))
+    # An island that crosses blocks began where the last block that did not merely continue it has its last change; places only grow.
+    edge = edge.withColumn("own", F.when((F.col("islands") > 1) | ~F.col("goes_on"), F.col("begin")))
+    edge = carry(edge, "blk", "own", "max", "entry", width)
     heads = edge.select("blk", "at", F.when(F.col("goes_on"), F.col("entry")).otherwise(F.col("at")).alias("head"))
     d = d.join(heads, "blk").withColumn("new", F.when(F.col("o") == F.col("at"), F.col("head")).otherwise(F.col("new")))
     d = d.withColumn("island", F.last("new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))

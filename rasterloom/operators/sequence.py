@@ -6,32 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def carry(blocks: DataFrame, order: str, value: str, how: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds ``name``: the sum or maximum of ``value`` over all rows of smaller ``order``.
+
+    Groups of ``width`` rows carry on their own, and one row per group passes
+    through the window over groups: of a sequence in blocks of ``width``, one
+    row for each ``width``² rows.
+    """
+    agg = F.sum if how == "sum" else F.max
+    d = blocks.withColumn("__g", F.floor(F.col(order) / width).cast("long"))
+    top = d.groupBy("__g").agg(agg(value).alias("__sum"))
+    top = top.select("__g", agg("__sum").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)).alias("__up"))
+    own = agg(value).over(Window.partitionBy("__g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("__own", own).join(top, "__g")
+    out = F.coalesce("__own", F.lit(0)) + F.coalesce("__up", F.lit(0)) if how == "sum" else F.greatest("__own", "__up")
+    return d.withColumn(name, out).drop("__g", "__own", "__up")
+
+
 def running(df: DataFrame, order: str, value: Column, how: str, name: str, width: int = 4096) -> DataFrame:
     """Adds ``name``: the running sum or maximum of ``value`` along the dense row number ``order``.
 
-    Blocks of ``width`` rows run on their own; only one row per block passes
-    through the window that carries values over, and comes back by a join.
+    Blocks of ``width`` rows run on their own; one row per block carries values
+    over (:func:`carry`) and comes back by a join.
     """
-    agg, zero = (F.sum, F.lit(0)) if how == "sum" else (F.max, F.lit(None))
+    agg = F.sum if how == "sum" else F.max
     d = df.withColumn("__blk", F.floor(F.col(order) / width).cast("long")).withColumn("__v", value)
     inside = Window.partitionBy("__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    carried = d.groupBy("__blk").agg(agg("__v").alias("__t"))
-    carried = carried.select("__blk", agg("__t").over(Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)).alias("__c"))
+    carried = carry(d.groupBy("__blk").agg(agg("__v").alias("__t")), "__blk", "__t", how, "__c", width).drop("__t")
     d = d.join(carried, "__blk")
     own = agg("__v").over(inside)
-    out = F.coalesce(own, zero) + F.coalesce("__c", zero) if how == "sum" else F.greatest(own, F.col("__c"))
+    out = F.coalesce(own, F.lit(0)) + F.col("__c") if how == "sum" else F.greatest(own, F.col("__c"))
     return d.withColumn(name, out).drop("__blk", "__v", "__c")
 
 
 def dense(df: DataFrame, order: str, name: str, width: int = 4096) -> DataFrame:
     """Adds ``name``: the row number (0, 1, ...) along the unique ids ``order``, which may have gaps.
 
-    Blocks of ``width`` ids count on their own; only one row per block that
-    has rows passes through the window that carries the counts over.
+    Blocks of ``width`` ids count on their own; one row per block that has rows
+    carries the counts over (:func:`carry`).
     """
     d = df.withColumn("__blk", F.floor(F.col(order) / width).cast("long"))
-    ahead = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = d.groupBy("__blk").agg(F.count("*").alias("__n")).select("__blk", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__c"))
+    carried = carry(d.groupBy("__blk").agg(F.count("*").alias("__n")), "__blk", "__n", "sum", "__c", width).drop("__n")
     inside = F.row_number().over(Window.partitionBy("__blk").orderBy(order)) - 1
     return d.withColumn("__k", inside).join(carried, "__blk").withColumn(name, F.col("__c") + F.col("__k")).drop("__blk", "__k", "__c")
 

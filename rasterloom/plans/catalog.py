@@ -319,6 +319,21 @@ def a61_a62_predictor_delta(spark, sf_dir):
     return predict.choose_delta(predict.neighbours(_paired(spark, sf_dir), W)).where("pr IS NOT NULL").select("frame_id", "y", "x", "ptype")
 
 
+def _streams(spark, sf_dir):
+    return fr.to_images(fr.scene_frames(spark, sf_dir)).withColumn("stream_id", F.lit("scenes"))
+
+
+@query(_with(f" SELECT frame_id, y, x, CASE WHEN pos > {W} THEN {_KEY} END AS ptype FROM near", _PAIR, _NEAR))
+def a60_image_predictors_key(spark, sf_dir):
+    """The same choice from whole images, as arrays."""
+    return predict.choose_of_images(_streams(spark, sf_dir), "stream_id", False).drop("stream_id")
+
+
+@query(_with(f" SELECT frame_id, y, x, {_DELTA} AS ptype FROM near WHERE pr IS NOT NULL", _PAIR, _NEAR))
+def a61_image_predictors_delta(spark, sf_dir):
+    return predict.choose_of_images(_streams(spark, sf_dir), "stream_id", True).drop("stream_id")
+
+
 @query(
     _with(
         f" SELECT frame_id, y, x, CAST(CASE WHEN x = 0 OR y = 0 THEN ({_P}::INT) * 8 + {_L}::INT ELSE {_L}::INT * 3 + {_U}::INT * 4 + {_P}::INT * 8 + {_G}::INT * 16 + {_V}::INT * 32 END AS INT) AS fits FROM near WHERE pr IS NOT NULL",

@@ -58,7 +58,7 @@ def images(spark):
             if k != 1:
                 y, x = r.integers(0, h), r.integers(0, w)
                 a[y : y + 3, x : x + 20] = r.integers(0, 256, 3)
-            if k == 3:
+            if k == 2:
                 a[:16, :16] = 255 - a[:16, :16]
     return rows, spark.createDataFrame(rows, "s string, frame_id long, height int, width int, pixels binary").repartition(3)
 

@@ -37,3 +37,26 @@ def test_row_numbers_across_blocks(spark):
     assert {r["o"]: r["row"] for r in sequence.dense(df, "o", "row", 4).collect()} == {i: k for k, i in enumerate(ids)}
     got = runs.global_runs(df, "o", F.lit("x"), cap=3, width=4).orderBy("start").collect()
     assert [(r["start"], r["n"]) for r in got] == [(-9, 3), (3, 3), (51, 2)]
+
+
+@pytest.mark.parametrize("width", [2, 3, 7])
+def test_values_carried_over_groups_of_blocks(spark, width):
+    """More blocks than one group of blocks: sums, maxima, row numbers and runs against plain loops."""
+    import random
+    from itertools import groupby
+
+    r = random.Random(width)
+    values = [r.choice([1, 2, None]) if k % 11 else 5 for k in range(150)]
+    letters = [r.choice("aab") if k < 100 else "c" for k in range(150)]
+    df = spark.createDataFrame([(k, 3 * k + k % 2, values[k], letters[k]) for k in range(150)], "o long, i long, v long, c string").repartition(3)
+    total = [sum(x or 0 for x in values[: k + 1]) for k in range(150)]
+    most = [max((x for x in values[: k + 1] if x is not None), default=None) for k in range(150)]
+    assert {q["o"]: q["s"] for q in sequence.running(df, "o", F.col("v"), "sum", "s", width).collect()} == dict(enumerate(total))
+    assert {q["o"]: q["s"] for q in sequence.running(df, "o", F.col("v"), "max", "s", width).collect()} == dict(enumerate(most))
+    assert {q["o"]: q["n"] for q in sequence.dense(df, "i", "n", width).collect()} == {k: k for k in range(150)}
+    want, at = [], 0
+    for c, run in groupby(letters):
+        n = len(list(run))
+        want += [(3 * k + k % 2, c, min(5, at + n - k)) for k in range(at, at + n, 5)]
+        at += n
+    assert sorted(tuple(q) for q in runs.global_runs(df.select("i", "c"), "i", F.col("c"), cap=5, width=width).collect()) == sorted(want)
