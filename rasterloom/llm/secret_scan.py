@@ -62,6 +62,15 @@ def extra_candidates(text: str) -> list[tuple[int, int]]:
 _SCAN = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("base", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("cands", pa.list_(pa.struct([("h", pa.binary()), ("s", pa.int64()), ("e", pa.int64())])))])
 
 
+#: What a text must match somewhere to hold any base span or candidate: the assign pattern with its least length, or 20 characters of a key (which long hex and access keys are too).
+_ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|[A-Za-z0-9+/_-]{20}"""
+
+
+def _holding(text: str = "text") -> Column:
+    """True where the text may hold a span, by a JVM pattern, so that only such texts go to Python; never null."""
+    return F.coalesce(F.col(text).rlike(_ANY), F.lit(False))
+
+
 def _candidates(text: str, base: list[tuple[str, int, int, int, int]]) -> list[dict]:
     """Hash and place of each candidate value: those of the base matches and the long mixed tokens."""
     spans = dict.fromkeys([(x[3], x[4]) for x in base] + extra_candidates(text))
@@ -111,9 +120,11 @@ def scan_secrets(docs: DataFrame, *, example_owners: int = 3, example_repositori
 
     Ownership is counted per (value, owner) with map-side combination before
     values meet, so a value that a third of the corpus repeats is a handful of
-    rows by then; it returns to the documents by a join that AQE can split.
+    rows by then; it returns to the documents by a join that AQE can split. Only
+    texts that may hold a span, by a JVM pattern, go to Python.
     """
-    seen = written(with_row_id(docs.select("doc_id", "text", "source", "lang").mapInArrow(_scan, _SCAN_DDL)), "secrets")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
+    seen = written(with_row_id(d.where(_holding()).mapInArrow(_scan, _SCAN_DDL)), "secrets")
     cand = seen.where(F.size("cands") > 0).select("rid", F.coalesce("source", F.lit("")).alias("owner"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode("cands").alias("c"))
     cand = cand.select("rid", "owner", "lang", "c.h", "c.s", "c.e")
     kind = F.when(_copied(example_owners, example_repositories), "example").otherwise("live")
@@ -123,7 +134,10 @@ def scan_secrets(docs: DataFrame, *, example_owners: int = 3, example_repositori
     every = F.concat(base, F.coalesce("added", F.expr("cast(array() AS array<struct<kind: string, s: bigint, e: bigint>>)")))
     order = F.expr("transform(spans, x -> named_struct('s', x.s, 'k', array_position(array('assign', 'access', 'hex', 'live', 'example'), x.kind), 'e', x.e, 'kind', x.kind))")
     out = out.withColumn("spans", every).withColumn("spans", F.transform(F.array_sort(order), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base", "spans")
+    out = out.select("doc_id", "n_assign", "n_access", "n_hex", "base", "spans")
+    zero = F.lit(0).cast("long")
+    none = F.expr("cast(array() AS array<struct<kind: string, s: bigint, e: bigint>>)")
+    return out.union(d.where(~_holding()).select("doc_id", zero, zero, zero, F.lit(""), none))
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
@@ -141,8 +155,8 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", *, example_owners: i
     rows are those of ``docs``; n_chars, where there is one, is the new length of
     a text that changed.
 
-    Texts are scanned once and written with what was found. Only documents with
-    a candidate are joined and changed; the others pass by without Python.
+    Texts that may hold a span, by a JVM pattern, are scanned once and written
+    with what was found; the others pass by without Python.
     """
     cols, schema = docs.columns, docs.schema
     rid, cands, cuts_ = fresh(docs, "__rid", "__cands", "__cuts")
@@ -154,7 +168,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", *, example_owners: i
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, cands])
 
     added = StructType([*schema.fields]).add(cands, ArrayType(StructType().add("h", BinaryType()).add("s", LongType()).add("e", LongType())))
-    seen = written(with_row_id(docs.mapInArrow(scan, added), rid), "scanned")
+    seen = written(with_row_id(docs.where(_holding()).mapInArrow(scan, added), rid), "scanned")
     cand = seen.where(F.size(cands) > 0).select(rid, F.coalesce("source", F.lit("")).alias("owner"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode(cands).alias("c"))
     cand = cand.select(F.col(rid).alias("rid"), "owner", "lang", "c.h", "c.s", "c.e")
     live = cand.join(_ownership(cand).where(~_copied(example_owners, example_repositories)), "h")
@@ -179,5 +193,5 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", *, example_owners: i
                 columns[n_at] = pa.array([len(t) if c else n for t, c, n in zip(texts, b.column(cuts_).to_pylist(), columns[n_at].to_pylist(), strict=True)], columns[n_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=cols)
 
-    changed = seen.where(F.size(cands) > 0).join(cuts, rid, "left").select(*cols, cuts_).mapInArrow(redact, schema)
-    return seen.where(F.size(cands) == 0).select(*cols).union(changed)
+    changed = seen.join(cuts, rid, "left").select(*cols, cuts_).mapInArrow(redact, schema)
+    return docs.where(~_holding()).union(changed)
