@@ -51,7 +51,7 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 def _word_hashes() -> Generations:
     import xxhash
 
-    return Generations(lambda w: xxhash.xxh3_64_intdigest((w.strip(_PUNCTUATION) or w).encode("utf-8", "surrogatepass")), 120_000)
+    return Generations(lambda w: xxhash.xxh3_64_intdigest((w.strip(_PUNCTUATION) or w).encode("utf-8", "surrogatepass")), 60_000)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -133,8 +133,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
     import xxhash
 
     for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
             texts = part.column("text").to_pylist()
             hs, at_unique, sets = [], {}, []
             for t in texts:

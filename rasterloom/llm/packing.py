@@ -68,7 +68,7 @@ def word_ids(path: str) -> Generations:
             marks[mark] = whole(mark)
         return struct.pack(f"<{len(ids)}I", *ids) + marks[mark]
 
-    return Generations(make)
+    return Generations(make, 120_000)
 
 
 def document_ids(text: str, path: str) -> bytes:
@@ -86,7 +86,7 @@ def tokenise_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Dat
     step = capacity * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = document_ids(t or "", path)
