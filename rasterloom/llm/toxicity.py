@@ -22,6 +22,8 @@ from rasterloom.llm.shared import Generations, fresh, written
 #: Labelled documents to fit on at most, features to keep at most, hash space, folds.
 SAMPLE, FEATURES, SPACE, FOLDS = 20_000, 2_048, 1 << 18, 5
 PREFIXES = (3, 4, 5, 6)
+#: A threshold that no probability reaches.
+NEVER = 2.0
 _PUNCTUATION = string.punctuation + "«»„“”‘’…–—¿¡"
 
 
@@ -37,7 +39,7 @@ def _features(word: str) -> tuple[int, ...]:
 
 @lru_cache(maxsize=1)
 def _cache() -> Generations:
-    return Generations(_features, 100_000)
+    return Generations(_features, 50_000)
 
 
 def document_features(text: str | None) -> np.ndarray:
@@ -113,7 +115,10 @@ def fit_chain(columns: list[np.ndarray], labels: np.ndarray, categories: list[st
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where out-of-fold probabilities part best (largest F1), halfway in log-odds across the gap; at most 0.5."""
+    """Where out-of-fold probabilities part best (largest F1), halfway in log-odds across the gap; at most 0.5.
+
+    Where flagging everything is best, the model tells nothing apart and nothing is flagged.
+    """
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
     if not len(p) or not hit[-1] or hit[-1] == len(p):
@@ -121,6 +126,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hit / (np.arange(1, len(p) + 1) + hit[-1])
     f1[:-1][p[order][:-1] == p[order][1:]] = 0  # ties stay together
     k = int(f1.argmax())
+    if k == len(p) - 1:
+        return NEVER  # nothing is told apart
     low, high = p[order[min(k + 1, len(p) - 1)]], p[order[k]]
     odds = lambda q: np.log(q / (1 - q))
     middle = (odds(np.clip(low, 1e-9, 1 - 1e-9)) + odds(np.clip(high, 1e-9, 1 - 1e-9))) / 2
@@ -193,8 +200,8 @@ def score(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
         def kept(word: str) -> tuple[int, ...]:
             return tuple(place[f] for f in _features(word) if f in place)
 
-        cache = Generations(kept, 200_000)
-        for b in batches:
+        cache = Generations(kept, 50_000)
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             columns = []
             for t in b.column("text").to_pylist():
                 found: set[int] = set()

@@ -2,14 +2,16 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from rasterloom.llm import queries
-from tests.llm.conftest import words
+from tests.llm.conftest import odd_documents, words
 
 
 def corpus(spark, path):
@@ -65,3 +67,33 @@ def test_stages(spark, tmp_path):
 def test_operators_do_not_swallow_import_errors():
     for name in ("corpus_pipeline.py", "rasterloom/llm/queries.py"):
         assert not re.search(r"except\s+\(?ImportError", open(name).read())
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_documents_with_clashing_columns(spark, tmp_path):
+    """Nulls in every column, repeated rows, long and empty texts, and columns named like the stages' own."""
+    rows = [r[:5] for r in odd_documents()]
+    clash = {"rid": "r", "__rid": 1, "__cands": 2, "__cuts": 3, "__p_toxic": 0.5, "__kept": True, "__key": "x", "__row": 1, "k": 7, "h": "h", "bucket": 1, "segment": "s"}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, value in clash.items():
+        df = df.withColumn(name, F.lit(value))
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (6, 0, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/out{n}")
+        out = spark.read.parquet(f"{tmp_path}/out{n}")
+        if n < 3:
+            assert out.columns == docs.columns and out.schema == docs.schema
+            kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
+            assert not kept - Counter((r[0], r[1]) for r in rows)
+            docs = out
+    assert {r["doc_id"] for r in out.collect()} == {i for i, _ in kept}
+    assert (None, None) in kept and (1, "") in kept  # empty texts stay
+    assert sum(n for (_, t), n in kept.items() if t == rows[7][1]) == 1
