@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.shared import Generations, fresh, written
 
-#: Labelled documents to fit on at most, features to keep at most, hash space, folds.
-SAMPLE, FEATURES, SPACE, FOLDS = 20_000, 2_048, 1 << 18, 5
+#: Labelled documents to fit on at most, hash space, folds.
+SAMPLE, SPACE, FOLDS = 20_000, 1 << 18, 5
+#: Log-likelihood ratio that a kept feature exceeds: one in a thousand does by chance.
+LEAST_SCORE = 10.8
 PREFIXES = (3, 4, 5, 6)
 #: A threshold that no probability reaches.
 NEVER = 2.0
@@ -134,14 +136,14 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(min(0.5, 1 / (1 + np.exp(-middle))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, sample: int = SAMPLE, n_features: int = FEATURES, least_docs: int = 5) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, sample: int = SAMPLE, least_docs: int = 5) -> Chain:
     """A chain over ``categories`` (name to SQL expression over ``labels``), in their order.
 
     Fits on at most ``sample`` labelled documents, those of the smallest hashed
     doc_id. Labels of one doc_id combine by maximum; null ids and null labels
     are left out; without labels (or with one class only) nothing is ever
-    flagged. Features are chosen by their log-likelihood ratio with a category
-    among those that speak for it.
+    flagged. All features are kept that speak for a category by their
+    log-likelihood ratio; the hash space bounds their number.
     """
     names = list(categories)
     y = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.max(F.expr(e).cast("int")).alias(f"y{k}") for k, e in enumerate(categories.values())))
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, sampl
             a, b = F.col(f"n{k + 1}").cast("double"), (F.col("n0") - F.col(f"n{k + 1}")).cast("double")
             g2 = 2 * (term(a, F.col("n0") * pos / n) + term(b, F.col("n0") * (n - pos) / n) + term(pos - a, (n - F.col("n0")) * pos / n + 1e-9) + term((n - pos) - b, (n - F.col("n0")) * (n - pos) / n + 1e-9))
             score = F.greatest(score, F.when(a * n > F.col("n0") * pos, g2).otherwise(0.0))
-    best = [r["f"] for r in stats.withColumn("score", score).where("score > 10.8").orderBy(F.desc("score"), "f").limit(n_features).select("f").collect()]  # 10.8: one in a thousand by chance
+    best = [r["f"] for r in stats.withColumn("score", score).where(F.col("score") > LEAST_SCORE).select("f").collect()]  # at most ``SPACE``
     features = np.array(sorted(best), dtype=np.int64)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
