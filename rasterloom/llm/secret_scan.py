@@ -63,12 +63,15 @@ _SCAN = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.
 
 
 #: What a text must match somewhere to hold any base span or candidate: the assign pattern with its least length, or 20 characters of a key (which long hex and access keys are too).
-_ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|[A-Za-z0-9+/_-]{20}"""
+_ASSIGNED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}"""
+_KEY = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"
 
 
 def _holding(text: str = "text") -> Column:
-    """True where the text may hold a span, by a JVM pattern, so that only such texts go to Python; never null."""
-    return F.coalesce(F.col(text).rlike(_ANY), F.lit(False))
+    """True where the text may hold a span, by JVM patterns, so that only such texts go to Python; never null."""
+    t = F.col(text)
+    sign = F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))
+    return F.coalesce((sign & t.rlike(_ASSIGNED)) | t.rlike(_KEY), F.lit(False))
 
 
 def _candidates(text: str, base: list[tuple[str, int, int, int, int]]) -> list[dict]:
