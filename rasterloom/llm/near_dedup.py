@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import Generations, bounded, components, drop, fresh, heavy_join, with_row_id, written
+from rasterloom.llm.shared import Generations, bounded, components, drop, fresh, heavy_join, release, with_row_id, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -152,6 +152,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
             n = np.cumsum([0] + [0 if h is None else bands for h in hs])
             lists = pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(rows_of[pick].ravel() if len(pick) else [], pa.int64()), mask=pa.array([h is None for h in hs]))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), pa.array(hs, pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), lists], schema=_SKETCH)
+    release(_word_hashes())
 
 
 def links_in_block(sets: list[tuple[np.ndarray, np.ndarray]], least: float, known: list[int] | None = None) -> list[tuple[int, int]]:
@@ -223,6 +224,7 @@ def _verify_stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[p
         if links:
             yield _link_batch(links)
             links = []
+    release(_word_hashes())
 
 
 def _verify_buckets(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -245,6 +247,7 @@ def _verify_buckets(batches: Iterator[pa.RecordBatch], least: float) -> Iterator
             held[r] = shingles(word_hashes(t or "")), v
     if (out := compare()) is not None:
         yield out
+    release(_word_hashes())
 
 
 def _blocks(n: str, chars: str, block: int) -> Column:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import Generations, written
+from rasterloom.llm.shared import Generations, release, written
 
 CAPACITY = 2048
 #: Pieces that one task packs at a time.
@@ -95,6 +95,7 @@ def tokenise_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Dat
                     for column, v in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, _PIECE, strict=True)], schema=_PIECE)
+        release(word_ids(path))
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECE_DDL)
 

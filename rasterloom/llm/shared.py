@@ -134,6 +134,21 @@ class Generations(dict):
         return value
 
 
+def release(*caches: Generations) -> None:
+    """Empty ``caches`` and give freed memory back, at the end of a task: workers are used again by other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for c in caches:
+        c.clear()
+        c.old = {}
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 100) -> DataFrame:
     """Connected components of undirected ``edges``: (node, component = smallest node reachable).
 

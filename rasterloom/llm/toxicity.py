@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import Generations, fresh, written
+from rasterloom.llm.shared import Generations, fresh, release, written
 
 #: Labelled documents to fit on at most, hash space, folds.
 SAMPLE, SPACE, FOLDS = 20_000, 1 << 18, 5
@@ -160,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, sampl
                 n[0, f] += 1
                 for k in np.flatnonzero(v):
                     n[k + 1, f] += 1
+        release(_cache())
         used = np.flatnonzero(n[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(n[k, used]) for k in range(width + 1))], names=["f", *(f"n{k}" for k in range(width + 1))])
 
@@ -181,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, sampl
         for b in batches:
             cols = [np.flatnonzero(np.isin(features, document_features(t))).astype(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in cols], pa.binary()), *(b.column(f"y{k}") for k in range(width))], names=["c", *(f"y{k}" for k in range(width))])
+        release(_cache())
 
     rows = chosen.mapInArrow(project, "c binary, " + ", ".join(f"y{k} int" for k in range(width))).collect()  # at most ``sample`` short rows
     rows.sort(key=lambda r: tuple(r))  # folds do not depend on the order of tasks
@@ -212,6 +214,7 @@ def score(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
                 columns.append(np.array(sorted(found), dtype=np.int64))
             p = np.round(chain.probabilities(columns), 6)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(new)))], names=[*b.schema.names, *new])
+        release(cache)
 
     from pyspark.sql.types import DoubleType, StructType
 
