@@ -123,11 +123,10 @@ def scan_secrets(docs: DataFrame, *, example_owners: int = 3, example_repositori
 
     Ownership is counted per (value, owner) with map-side combination before
     values meet, so a value that a third of the corpus repeats is a handful of
-    rows by then; it returns to the documents by a join that AQE can split. Only
-    texts that may hold a span, by a JVM pattern, go to Python.
+    rows by then; it returns to the documents by a join that AQE can split.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
-    seen = written(with_row_id(d.where(_holding()).mapInArrow(_scan, _SCAN_DDL)), "secrets")
+    seen = written(with_row_id(d.mapInArrow(_scan, _SCAN_DDL)), "secrets")
     cand = seen.where(F.size("cands") > 0).select("rid", F.coalesce("source", F.lit("")).alias("owner"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode("cands").alias("c"))
     cand = cand.select("rid", "owner", "lang", "c.h", "c.s", "c.e")
     kind = F.when(_copied(example_owners, example_repositories), "example").otherwise("live")
@@ -137,10 +136,7 @@ def scan_secrets(docs: DataFrame, *, example_owners: int = 3, example_repositori
     every = F.concat(base, F.coalesce("added", F.expr("cast(array() AS array<struct<kind: string, s: bigint, e: bigint>>)")))
     order = F.expr("transform(spans, x -> named_struct('s', x.s, 'k', array_position(array('assign', 'access', 'hex', 'live', 'example'), x.kind), 'e', x.e, 'kind', x.kind))")
     out = out.withColumn("spans", every).withColumn("spans", F.transform(F.array_sort(order), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))))
-    out = out.select("doc_id", "n_assign", "n_access", "n_hex", "base", "spans")
-    zero = F.lit(0).cast("long")
-    none = F.expr("cast(array() AS array<struct<kind: string, s: bigint, e: bigint>>)")
-    return out.union(d.where(~_holding()).select("doc_id", zero, zero, zero, F.lit(""), none))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base", "spans")
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
