@@ -163,15 +163,15 @@ def b_string_functions(spark, sf_dir):
 
 
 @query(
-    "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, dayofyear(o_orderdate) AS doy, dayofweek(o_orderdate) + 1 AS dow, strftime(o_orderdate, '%Y/%m') AS ym, CAST(date_trunc('month', o_orderdate) AS DATE) AS first, last_day(o_orderdate) AS last,"
-    " CAST(o_orderdate + INTERVAL 45 DAYS AS DATE) AS due, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS days, CAST(o_orderdate - INTERVAL 3 MONTHS AS DATE) AS back FROM orders"
+    "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, dayofyear(o_orderdate) AS doy, dayofweek(o_orderdate) + 1 AS dow, strftime(o_orderdate, '%Y/%m') AS ym, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS first, CAST(last_day(o_orderdate) AS VARCHAR) AS last,"
+    " CAST(CAST(o_orderdate + INTERVAL 45 DAYS AS DATE) AS VARCHAR) AS due, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS days, CAST(CAST(o_orderdate - INTERVAL 3 MONTHS AS DATE) AS VARCHAR) AS back FROM orders"
 )
 def b_date_functions(spark, sf_dir):
     o = F.col("o_orderdate")
-    long = lambda c: c.cast("long")
+    long, text = (lambda c: c.cast("long")), (lambda c: c.cast("string"))
     return _t(spark, sf_dir, "orders").select(
         "o_orderkey", long(F.year(o)).alias("y"), long(F.month(o)).alias("m"), long(F.dayofmonth(o)).alias("d"), long(F.quarter(o)).alias("q"), long(F.dayofyear(o)).alias("doy"), long(F.dayofweek(o)).alias("dow"), F.date_format(o, "yyyy/MM").alias("ym"),
-        F.date_trunc("month", o).cast("date").alias("first"), F.last_day(o).alias("last"), F.date_add(o, 45).alias("due"), long(F.datediff(o, F.lit("1992-01-01"))).alias("days"), F.add_months(o, -3).alias("back"),
+        text(F.date_trunc("month", o).cast("date")).alias("first"), text(F.last_day(o)).alias("last"), text(F.date_add(o, 45)).alias("due"), long(F.datediff(o, F.lit("1992-01-01"))).alias("days"), text(F.add_months(o, -3)).alias("back"),
     )
 
 
@@ -185,7 +185,7 @@ def b_json_map_functions(spark, sf_dir):
 
 
 @query(
-    "SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS net, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts, CAST(sum(CASE WHEN l_quantity > 30 THEN l_partkey ELSE 0 END) AS BIGINT) AS large,"
+    "SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS VARCHAR) AS net, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts, CAST(sum(CASE WHEN l_quantity > 30 THEN l_partkey ELSE 0 END) AS BIGINT) AS large,"
     " date_diff('day', CAST(min(l_shipdate) AS DATE), CAST(max(l_shipdate) AS DATE)) AS days FROM lineitem GROUP BY l_orderkey"
 )
 def b_decimal_interval_nested(spark, sf_dir):
@@ -194,7 +194,7 @@ def b_decimal_interval_nested(spark, sf_dir):
     g = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(net).alias("net"), F.array_sort(F.collect_list(F.struct("l_partkey", "l_quantity"))).alias("lines"), (F.max("l_shipdate").cast("date") - F.min("l_shipdate").cast("date")).alias("span"))
     parts = F.array_join(F.transform("lines", lambda x: x.l_partkey.cast("string")), ",")
     large = F.aggregate(F.filter("lines", lambda x: x.l_quantity > 30), F.lit(0).cast("long"), lambda a, x: a + x.l_partkey)
-    return g.select("l_orderkey", "net", F.size("lines").cast("long").alias("n"), parts.alias("parts"), large.alias("large"), F.expr("extract(DAY FROM span)").cast("long").alias("days"))
+    return g.select("l_orderkey", F.col("net").cast("string").alias("net"), F.size("lines").cast("long").alias("n"), parts.alias("parts"), large.alias("large"), F.expr("extract(DAY FROM span)").cast("long").alias("days"))
 
 
 # User-defined functions
