@@ -11,6 +11,7 @@ from rasterloom.functions import pixel
 from rasterloom.operators import codec, diff, entropy, model, motion, predict, runs, sequence, stats
 from rasterloom.operators.grouped import by_key
 from rasterloom.sources import frames as fr
+from rasterloom.sources.settings import settings
 
 W, H = fr.WIDTH, fr.HEIGHT
 INTERVAL = 7
@@ -686,3 +687,10 @@ def a45_a133_stream_counts(spark, sf_dir):
     from rasterloom.streaming.keyframes import drain, stream_counts
 
     return drain(stream_counts(_event_stream(spark, sf_dir, "user_id", "event_id", "event_type"), "user_id", "event_id", "event_type"), "counts")
+
+
+@query("SELECT * FROM (VALUES ('interval', '500', 'default'), ('far', '64', 'option'), ('near', '8', 'default'), ('loss', '0', 'default'), ('coder', 'range', 'option')) t(name, value, source)")
+def a146_settings(spark, sf_dir):
+    """Settings with two options given."""
+    rows = [(name, str(value), source) for name, (value, source) in settings(spark, far=64, coder="range").items()]
+    return spark.createDataFrame(rows, "name string, value string, source string")

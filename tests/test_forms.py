@@ -14,6 +14,7 @@ from rasterloom.operators.relational import band_join, interval_join, salted_agg
 from rasterloom.sources import files
 from rasterloom.sources import frames as fr
 from rasterloom.sources.datasource import TestFrames
+from rasterloom.sources.settings import settings
 from rasterloom.streaming import keyframes
 
 
@@ -163,3 +164,13 @@ def test_data_source_deals_frames_to_partitions(spark):
     got = Counter(tuple(r) for r in df.collect())
     assert got == Counter((f, y, x, (7 * x + 3 * y + 5 * f) % 256, (x + 11 * y + f) % 256, (x * y + 2 * f) % 256) for f in range(5) for y in range(3) for x in range(7))
     assert spark.read.format("testframes").options(frames=0).load().count() == 0
+
+
+def test_settings_take_options_first(spark):
+    spark.conf.set("rasterloom.near", "4")
+    try:
+        assert settings(spark)["near"] == (4, "session") and settings(spark, near=2)["near"] == (2, "option") and settings(spark)["interval"] == (500, "default")
+    finally:
+        spark.conf.unset("rasterloom.near")
+    with pytest.raises(ValueError):
+        settings(spark, colour=1)
