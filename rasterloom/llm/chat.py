@@ -41,8 +41,8 @@ def format_chat(turns: DataFrame) -> DataFrame:
     Returns conv_id, formatted string, segments array<struct<text, loss>>.
     Turns are ordered by turn, then role, then text, nulls first; null roles and
     texts count as empty; repeated rows are turns of their own; rows with a null
-    conv_id form one conversation; other columns are ignored; an empty table
-    gives no rows. A conversation is one output row, so its turns meet in one
+    conv_id form one conversation; texts of any length stay whole; other columns
+    are ignored; an empty table gives no rows. A conversation is one output row, so its turns meet in one
     task by nature; nothing else does.
     """
     t = turns.groupBy("conv_id").agg(

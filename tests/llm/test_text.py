@@ -221,6 +221,14 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(df.limit(0)).collect() == []
 
 
+def test_chat_long_texts(spark):
+    long = "<s>[~ é" * 60_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "assistant", None)], "conv_id long, turn long, role string, text string")
+    (row,) = chat.chat_digest(chat.format_chat(df)).collect()
+    assert row["loss_chars"] == len(long) and row["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert row["turns_sha256"] == hashlib.sha256(f"user\n{long}\nassistant\n{long}\nassistant\n\n".encode()).hexdigest()
+
+
 def brute_rule(host, path):
     best = None
     for verdict, rule in queries.RULES:
