@@ -12,8 +12,8 @@ from rasterloom.llm.shared import written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain rejects go; it is fitted on the labelled ones among ``docs``.
 
-    Null and empty texts have no features and stay unless the base rate alone is
-    rejected, which it never is; repeated rows are judged alike; without labels,
+    Null and empty texts have no features and are judged by the base rates;
+    repeated rows are judged alike; without labels,
     or with one class only, all rows stay; no documents give none. Clashing
     column names are kept: scores take other names.
     """
