@@ -259,8 +259,10 @@ def _star_links(shared: DataFrame, texts: DataFrame, least: float, block: int) -
     """Links of each bucket's members with its leader (the smallest of them), each pair compared once.
 
     ``shared`` has (bucket, leader, rid), ``texts`` (rid, text, chars). A leader
-    of many members is sent to several blocks of them.
+    of many members is sent to several blocks of them, smaller ones than where
+    documents meet each other.
     """
+    block = max(1, block // 4)
     pairs = written(shared.where("rid != leader").select("leader", "rid").distinct(), "star-pairs")
     stars = pairs.groupBy("leader").agg(F.count("*").alias("n"))
     stars = bounded(written(stars.select("leader", F.ceil(F.col("n") / block).cast("int").alias("nb")), "stars"))
