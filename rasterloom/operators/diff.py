@@ -14,9 +14,13 @@ from rasterloom.functions.pixel import BLOCK_EDGE
 CHANNELS = ("r", "g", "b")
 
 
-def with_previous(frames: DataFrame) -> DataFrame:
-    """Adds pr, pg, pb: the same place in the frame before (null in the first). One shuffle, by place."""
-    w = Window.partitionBy("y", "x").orderBy("frame_id")
+def with_previous(frames: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds pr, pg, pb: the same place in the frame before (null in the first). One shuffle, by place.
+
+    ``by`` names the columns that tell streams apart, here and below; each
+    stream has its own frame numbers.
+    """
+    w = Window.partitionBy(*by, "y", "x").orderBy("frame_id")
     return frames.select("*", *(F.lag(c).over(w).alias(f"p{c}") for c in CHANNELS))
 
 
@@ -25,55 +29,55 @@ def changed() -> Column:
     return (F.col("r") != F.col("pr")) | (F.col("g") != F.col("pg")) | (F.col("b") != F.col("pb"))
 
 
-def flat_frames(frames: DataFrame) -> DataFrame:
+def flat_frames(frames: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(frame_id, flat): all pixels equal. Minimum and maximum combine before the shuffle; no distinct count."""
     same = F.lit(True)
     for c in CHANNELS:
         same = same & (F.min(c) == F.max(c))
-    return frames.groupBy("frame_id").agg(same.alias("flat"))
+    return frames.groupBy(*by, "frame_id").agg(same.alias("flat"))
 
 
-def changed_frames(paired: DataFrame) -> DataFrame:
+def changed_frames(paired: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(frame_id, changed) for frames that have one before."""
-    return paired.where("pr IS NOT NULL").groupBy("frame_id").agg(F.bool_or(changed()).alias("changed"))
+    return paired.where("pr IS NOT NULL").groupBy(*by, "frame_id").agg(F.bool_or(changed()).alias("changed"))
 
 
-def matched_pixels(paired: DataFrame) -> DataFrame:
+def matched_pixels(paired: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(frame_id, matched, total): pixels equal to those of the frame before at the same place."""
-    return paired.where("pr IS NOT NULL").groupBy("frame_id").agg(F.sum(F.when(changed(), 0).otherwise(1)).cast("long").alias("matched"), F.count("*").alias("total"))
+    return paired.where("pr IS NOT NULL").groupBy(*by, "frame_id").agg(F.sum(F.when(changed(), 0).otherwise(1)).cast("long").alias("matched"), F.count("*").alias("total"))
 
 
-def changed_blocks(paired: DataFrame, edge: int = BLOCK_EDGE) -> DataFrame:
+def changed_blocks(paired: DataFrame, edge: int = BLOCK_EDGE, by: tuple[str, ...] = ()) -> DataFrame:
     """Changed blocks with their least rectangle (half-open) and code: 1 whole block, 2 part of it.
 
     Unchanged blocks (code 0) are not listed. The code compares the rectangle
     with the block as clipped by the frame's edge.
     """
-    by, bx = F.floor(F.col("y") / edge).cast("int"), F.floor(F.col("x") / edge).cast("int")
-    p = paired.where("pr IS NOT NULL").select("frame_id", by.alias("brow"), bx.alias("bx"), "x", "y", changed().alias("c"))
+    row, bx = F.floor(F.col("y") / edge).cast("int"), F.floor(F.col("x") / edge).cast("int")
+    p = paired.where("pr IS NOT NULL").select(*by, "frame_id", row.alias("brow"), bx.alias("bx"), "x", "y", changed().alias("c"))
     hit = lambda v: F.when(F.col("c"), F.col(v))
-    blocks = p.groupBy("frame_id", "brow", "bx").agg(
+    blocks = p.groupBy(*by, "frame_id", "brow", "bx").agg(
         F.min(hit("x")).alias("x1"), F.min(hit("y")).alias("y1"), (F.max(hit("x")) + 1).alias("x2"), (F.max(hit("y")) + 1).alias("y2"),
         F.min("x").alias("bx1"), F.min("y").alias("by1"), (F.max("x") + 1).alias("bx2"), (F.max("y") + 1).alias("by2"),
     )
     whole = (F.col("x1") == F.col("bx1")) & (F.col("y1") == F.col("by1")) & (F.col("x2") == F.col("bx2")) & (F.col("y2") == F.col("by2"))
-    return blocks.where("x1 IS NOT NULL").select("frame_id", "brow", "bx", F.when(whole, 1).otherwise(2).alias("bt"), "x1", "y1", "x2", "y2")
+    return blocks.where("x1 IS NOT NULL").select(*by, "frame_id", "brow", "bx", F.when(whole, 1).otherwise(2).alias("bt"), "x1", "y1", "x2", "y2")
 
 
-def region_bounds(paired: DataFrame, width: int, edge: int = BLOCK_EDGE) -> DataFrame:
+def region_bounds(paired: DataFrame, width: int, edge: int = BLOCK_EDGE, by: tuple[str, ...] = ()) -> DataFrame:
     """Per frame the bounds of its changed blocks and their first and last raster index; nulls where unchanged."""
     nbx = -(-width // edge)
     hit = lambda v: F.when(F.col("c"), F.col(v))
-    p = paired.where("pr IS NOT NULL").select("frame_id", F.floor(F.col("y") / edge).cast("int").alias("brow"), F.floor(F.col("x") / edge).cast("int").alias("bx"), changed().alias("c"))
-    out = p.groupBy("frame_id").agg(F.min(hit("bx")).alias("bx1"), F.min(hit("brow")).alias("by1"), F.max(hit("bx")).alias("bx2"), F.max(hit("brow")).alias("by2"))
+    p = paired.where("pr IS NOT NULL").select(*by, "frame_id", F.floor(F.col("y") / edge).cast("int").alias("brow"), F.floor(F.col("x") / edge).cast("int").alias("bx"), changed().alias("c"))
+    out = p.groupBy(*by, "frame_id").agg(F.min(hit("bx")).alias("bx1"), F.min(hit("brow")).alias("by1"), F.max(hit("bx")).alias("bx2"), F.max(hit("brow")).alias("by2"))
     return out.select("*", (F.col("by1") * nbx + F.col("bx1")).alias("first_index"), (F.col("by2") * nbx + F.col("bx2")).alias("last_index"))
 
 
-def block_types(paired: DataFrame, edge: int = BLOCK_EDGE) -> DataFrame:
+def block_types(paired: DataFrame, edge: int = BLOCK_EDGE, by: tuple[str, ...] = ()) -> DataFrame:
     """Every block with code 0, 1 or 2, and its raster place."""
-    every = paired.where("pr IS NOT NULL").groupBy("frame_id", F.floor(F.col("y") / edge).cast("int").alias("brow"), F.floor(F.col("x") / edge).cast("int").alias("bx")).agg(F.count("*").alias("pixels"))
-    some = changed_blocks(paired, edge).select("frame_id", "brow", "bx", "bt")
-    return every.join(some, ["frame_id", "brow", "bx"], "left").select("frame_id", "brow", "bx", F.coalesce("bt", F.lit(0)).alias("bt"), "pixels")
+    every = paired.where("pr IS NOT NULL").groupBy(*by, "frame_id", F.floor(F.col("y") / edge).cast("int").alias("brow"), F.floor(F.col("x") / edge).cast("int").alias("bx")).agg(F.count("*").alias("pixels"))
+    some = changed_blocks(paired, edge, by).select(*by, "frame_id", "brow", "bx", "bt")
+    return every.join(some, [*by, "frame_id", "brow", "bx"], "left").select(*by, "frame_id", "brow", "bx", F.coalesce("bt", F.lit(0)).alias("bt"), "pixels")
 
 
 def changed_blocks_of_images(images: DataFrame, stream: str, edge: int = BLOCK_EDGE) -> DataFrame:

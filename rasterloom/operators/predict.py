@@ -19,9 +19,9 @@ LITERAL, LEFT, UP, PREVIOUS, GRADIENT, UP_LEFT = range(6)
 KEY_ORDER, DELTA_ORDER = (LEFT, UP_LEFT, UP, GRADIENT), (LEFT, PREVIOUS, UP_LEFT, UP, GRADIENT)
 
 
-def neighbours(frames: DataFrame, width: int) -> DataFrame:
-    """Adds structs l, u, ul: left in scan order, up, and up-left (null outside the frame or at x = 0 for up-left)."""
-    scan = Window.partitionBy("frame_id").orderBy("pos")
+def neighbours(frames: DataFrame, width: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds structs l, u, ul: left in scan order, up, and up-left (null outside the frame or at x = 0 for up-left). ``by`` tells streams apart."""
+    scan = Window.partitionBy(*by, "frame_id").orderBy("pos")
     rgb = F.struct(*CHANNELS)
     d = frames.withColumn("pos", (F.col("y") * width + F.col("x")).cast("long"))
     d = d.withColumn("l", F.lag(rgb, 1).over(scan)).withColumn("u", F.lag(rgb, width).over(scan)).withColumn("ul", F.lag(rgb, width + 1).over(scan))
@@ -78,18 +78,18 @@ def fit_mask(near: DataFrame, delta: bool) -> DataFrame:
     return near.withColumn("fits", F.when((F.col("x") == 0) | (F.col("y") == 0), edge).otherwise(inner))
 
 
-def colour_contexts(frames: DataFrame, width: int) -> DataFrame:
+def colour_contexts(frames: DataFrame, width: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(frame_id, seq, channel, ctx, sym): each channel value with the context of the two values before it.
 
     A context is ``(older >> 2 << 6) + (newer >> 2)``, 0..4095 per channel; both
     start at 0 in every frame.
     """
-    d = frames.select("frame_id", (F.col("y") * width + F.col("x")).cast("long").alias("pos"), F.posexplode(F.array(*CHANNELS)).alias("channel", "sym"))
+    d = frames.select(*by, "frame_id", (F.col("y") * width + F.col("x")).cast("long").alias("pos"), F.posexplode(F.array(*CHANNELS)).alias("channel", "sym"))
     d = d.withColumn("seq", F.col("pos") * 3 + F.col("channel"))
-    w = Window.partitionBy("frame_id").orderBy("seq")
+    w = Window.partitionBy(*by, "frame_id").orderBy("seq")
     newer, older = F.coalesce(F.lag("sym", 1).over(w), F.lit(0)), F.coalesce(F.lag("sym", 2).over(w), F.lit(0))
     ctx = F.shiftleft(F.shiftright(older, 2), 6) + F.shiftright(newer, 2)
-    return d.select("frame_id", "seq", "channel", ctx.alias("ctx"), "sym")
+    return d.select(*by, "frame_id", "seq", "channel", ctx.alias("ctx"), "sym")
 
 
 def fits_of_image(a: np.ndarray, prev: np.ndarray | None) -> dict[int, np.ndarray]:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import udfs
-from rasterloom.operators import codec, diff, entropy, motion
+from rasterloom.operators import codec, diff, entropy, motion, predict
 from rasterloom.operators.relational import band_join, interval_join, salted_aggregate
 from rasterloom.sources import files
 from rasterloom.sources import frames as fr
@@ -174,3 +174,19 @@ def test_settings_take_options_first(spark):
         spark.conf.unset("rasterloom.near")
     with pytest.raises(ValueError):
         settings(spark, colour=1)
+
+
+def test_streams_in_one_table_stay_apart(spark):
+    """Every pixel form over two streams at once gives what each gives on its own."""
+    _, df = images(spark)
+    own = lambda s: fr.from_images(df.where((F.col("s") == s) & (F.col("frame_id") < 4)))
+    both = own("a").withColumn("s", F.lit("a")).union(own("b").withColumn("s", F.lit("b")))
+    by = ("s",)
+    forms = [
+        lambda d, by: diff.flat_frames(d, by), lambda d, by: diff.changed_frames(diff.with_previous(d, by), by), lambda d, by: diff.matched_pixels(diff.with_previous(d, by), by),
+        lambda d, by: diff.changed_blocks(diff.with_previous(d, by), by=by), lambda d, by: diff.region_bounds(diff.with_previous(d, by), 50, by=by), lambda d, by: diff.block_types(diff.with_previous(d, by), by=by),
+        lambda d, by: predict.colour_contexts(d, 50, by), lambda d, by: predict.choose_key(predict.neighbours(d, 50, by), 50).select(*by, "frame_id", "y", "x", "ptype"),
+    ]
+    for form in forms:
+        got = Counter(tuple(r) for r in form(both, by).collect())
+        assert got == Counter((s, *r) for s in "ab" for r in form(own(s), ()).collect())
