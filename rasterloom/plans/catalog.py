@@ -506,21 +506,33 @@ def a100_a103_a107_list_models(spark, sf_dir):
     return _modelled(spark, sf_dir, 370, F.col("event_id") * 7 % 251)
 
 
-@query(
-    _numbered(60, f"{_K} % 4 * 60 + 5")
-    + ", x AS (SELECT n.*, v, 50 * coalesce(sum(CASE WHEN sym = v THEN 1 ELSE 0 END) OVER w, 0) AS c, coalesce(max(CASE WHEN sym = v THEN k END) OVER w, 1000) AS last FROM n, (VALUES (5), (65), (125), (185)) s(v)"
-    " WINDOW w AS (PARTITION BY segment, v ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),"
-    " t AS (SELECT segment, seq, sym, k, sum(c) + 256 - count(*) FILTER (WHERE c > 0) AS total, arg_min(v, (-c, last)) AS fav, sum(c) FILTER (WHERE v < sym) AS below, count(*) FILTER (WHERE v < sym AND c > 0) AS d, max(c) FILTER (WHERE v = sym) AS own, bool_or(c > 50) AS counted FROM x GROUP BY ALL),"
-    " u AS (SELECT *, CASE WHEN total > 2048 THEN 0 WHEN total > 1024 THEN 1 WHEN total > 512 THEN 2 ELSE 3 END AS shift FROM t),"
-    " b AS (SELECT *, CAST((4096 - total * (1 << shift)) // (1 << shift) AS BIGINT) AS bonus FROM u)"
-    " SELECT segment, seq, sym, CAST(CASE WHEN NOT counted THEN sym ELSE (coalesce(below, 0) + sym - d + CASE WHEN fav < sym THEN bonus ELSE 0 END) * (1 << shift) END AS INT) AS start,"
-    " CAST(CASE WHEN NOT counted THEN 0 ELSE (greatest(own, 1) + CASE WHEN fav = sym THEN bonus ELSE 0 END) * (1 << shift) END AS INT) AS freq, CAST(CASE WHEN counted THEN 4 WHEN k = 0 THEN 0 ELSE 1 END AS INT) AS kind FROM b"
-)
+def _small(sym: str, values: tuple[int, ...], kind: int) -> str:
+    """Counted symbols: 50 for each time they came, 1 for all others, doubled past half the scale, the rest to the favourite, which is the first with the highest count."""
+    return (
+        _numbered(60, sym)
+        + f", x AS (SELECT n.*, v, 50 * coalesce(sum(CASE WHEN sym = v THEN 1 ELSE 0 END) OVER w, 0) AS c, coalesce(max(CASE WHEN sym = v THEN k END) OVER w, 1000) AS last FROM n, (VALUES {', '.join(f'({v})' for v in values)}) s(v)"
+        " WINDOW w AS (PARTITION BY segment, v ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),"
+        " t AS (SELECT segment, seq, sym, k, sum(c) + 256 - count(*) FILTER (WHERE c > 0) AS total, arg_min(v, (-c, last)) AS fav, sum(c) FILTER (WHERE v < sym) AS below, count(*) FILTER (WHERE v < sym AND c > 0) AS d, max(c) FILTER (WHERE v = sym) AS own, bool_or(c > 50) AS counted FROM x GROUP BY ALL),"
+        " u AS (SELECT *, CASE WHEN total > 2048 THEN 0 WHEN total > 1024 THEN 1 WHEN total > 512 THEN 2 ELSE 3 END AS shift FROM t),"
+        " b AS (SELECT *, CAST((4096 - total * (1 << shift)) // (1 << shift) AS BIGINT) AS bonus FROM u)"
+        " SELECT segment, seq, sym, CAST(CASE WHEN NOT counted THEN sym ELSE (coalesce(below, 0) + sym - d + CASE WHEN fav < sym THEN bonus ELSE 0 END) * (1 << shift) END AS INT) AS start,"
+        f" CAST(CASE WHEN NOT counted THEN 0 ELSE (greatest(own, 1) + CASE WHEN fav = sym THEN bonus ELSE 0 END) * (1 << shift) END AS INT) AS freq, CAST(CASE WHEN counted THEN {kind} WHEN k = 0 THEN 0 ELSE 1 END AS INT) AS kind FROM b"
+    )
+
+
+@query(_small(f"{_K} % 4 * 60 + 5", (5, 65, 125, 185), 4))
 def a104_small_model(spark, sf_dir):
-    """Up to four symbols: 50 for each time they came, 1 for all others, doubled past half the scale, the rest to the favourite."""
+    """Up to four symbols."""
     return _modelled(spark, sf_dir, 60, F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 4 * 60 + 5)
 
 
+@query(_small(f"CASE WHEN event_id % 60 < 8 THEN event_id % 60 ELSE {_K} % 8 END * 30 + 2", tuple(range(2, 242, 30)), 5))
+def a105_small_model(spark, sf_dir):
+    """Five to sixteen symbols: eight are listed before one repeats."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 8
+    return _modelled(spark, sf_dir, 60, F.when(F.col("event_id") % 60 < 8, F.col("event_id") % 60).otherwise(k) * 30 + 2)
+
+
 @query(
     _numbered(80, "event_id % 30 * 5")
     # 30 listed symbols weigh 32 each, the one that repeated 64, all others 1; doubled once, then frozen.
