@@ -19,7 +19,7 @@ from rasterloom.functions.pixel import BLOCK_EDGE, RUN_CAP
 from rasterloom.operators.entropy import CODERS, SymbolReader, encode_blocks
 from rasterloom.operators.model import SCALE, Models
 from rasterloom.operators.motion import find_vector
-from rasterloom.operators.predict import DELTA_ORDER, GRADIENT, KEY_ORDER, LEFT, LITERAL, PREVIOUS, UP, UP_LEFT, fits_of_image
+from rasterloom.operators.predict import DELTA_ORDER, KEY_ORDER, LEFT, LITERAL, PREVIOUS, UP, UP_LEFT, fits_of_image
 from rasterloom.operators.runs import greedy_fold
 
 #: Version, packet tags, fixed alphabets by channel (colours are adaptive bytes).
