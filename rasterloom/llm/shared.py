@@ -178,24 +178,3 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.join(cur.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-class Union:
-    """Union-find over small integers, for one block in one task."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
