@@ -18,13 +18,13 @@ SAMPLE, FAN, PER_CENTROID, BLOCK = 16_384, 256, 64, 1_024
 STEP = 4_000_000
 
 
-def numbered(df: DataFrame, *more: str) -> DataFrame:
-    """Written rows (rid, vec_id, ``more``, v): v is the vector as doubles, null where it takes no part.
+def numbered(df: DataFrame, *more: str, kind: str = "double") -> DataFrame:
+    """Written rows (rid, vec_id, ``more``, v): v is the vector as ``kind``, null where it takes no part.
 
     No part take vectors that are null, empty, zero, or hold a null or a
     non-finite component. Vectors of several lengths may stand side by side.
     """
-    v = F.expr("CASE WHEN forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x != 0) THEN cast(embedding AS array<double>) END")
+    v = F.expr("CASE WHEN forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x != 0) THEN cast(embedding AS array<%s>) END" % kind)
     return written(with_row_id(df.select("vec_id", *more, v.alias("v"))), "vectors")
 
 
@@ -122,7 +122,7 @@ def fit_lists(rows: DataFrame, n: int, lists: int, lift: Callable[[np.ndarray],
 
     share = min(1.0, PER_CENTROID * lists / n)
     picked = rows.select("rid", "v").where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
-    picked = written(picked.mapInArrow(cell, "cell int, rid long, v array<double>"), "fit-sample")
+    picked = written(picked.mapInArrow(cell, f"cell int, rid long, v {rows.schema['v'].dataType.simpleString()}"), "fit-sample")
     wanted = lists / max(1, picked.count())
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,17 +168,20 @@ def _shared_fees(picked: DataFrame, lift: Callable, c: np.ndarray, mean: float,
     return best
 
 
-def items(rows: DataFrame, cell: list[str], same: bool, block: int = BLOCK) -> DataFrame:
+def items(rows: DataFrame, cell: list[str], same: bool, block: int = BLOCK, cells: DataFrame | None = None, order: tuple[str, ...] = ("rid",)) -> DataFrame:
     """Deal ``rows`` of cells (side 0: members, 1: queries) to block-against-block items.
 
     Every member of a cell meets every query of it in exactly one item and, if
     ``same``, every other member too. A side of a cell is cut into blocks of
     about ``block`` rows, so that a hot cell becomes many items and no item is
-    large. ``rows`` are written rows, which are read twice. Adds item (kind, i, j) and place (0 or 1).
+    large. ``rows`` are written rows, which are read twice, or come with their
+    written ``cells`` (cell, mb, qb: blocks of each side). Adds item (kind, i, j)
+    and place (0 or 1); rows of a place come in ``order``.
     """
-    n = rows.groupBy(*cell).agg(F.sum(1 - F.col("side")).alias("m"), F.sum("side").alias("q"))
-    n = written(n.select(*cell, F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int").alias("mb"), F.ceil(F.col("q") / block).cast("int").alias("qb")), "cells")
-    n = bounded(n)
+    if cells is None:
+        n = rows.groupBy(*cell).agg(F.sum(1 - F.col("side")).alias("m"), F.sum("side").alias("q"))
+        cells = written(n.select(*cell, F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int").alias("mb"), F.ceil(F.col("q") / block).cast("int").alias("qb")), "cells")
+    n = bounded(cells)
     d = rows.join(n, cell).withColumn("b", F.pmod(F.xxhash64("rid"), F.when(F.col("side") == 0, F.col("mb")).otherwise(F.greatest("qb", F.lit(1)))).cast("int"))
     met = "transform(if(qb = 0, array(), sequence(0, qb - 1)), o -> named_struct('kind', 1, 'i', b, 'j', o, 'place', 0))"
     own = "transform(sequence(0, mb - 1), o -> named_struct('kind', 0, 'i', least(b, o), 'j', greatest(b, o), 'place', if(b <= o, 0, 1)))"
@@ -187,7 +190,7 @@ def items(rows: DataFrame, cell: list[str], same: bool, block: int = BLOCK) -> D
     d = d.withColumn("it", F.explode(F.expr(f"if(side = 0, {member}, {asks})"))).drop("mb", "qb", "b")
     keys = [*cell, "kind", "i", "j"]
     d = d.select("*", "it.kind", "it.i", "it.j", "it.place").drop("it")
-    return d.repartition(*keys).sortWithinPartitions(*keys, "place", "rid")
+    return d.repartition(*keys).sortWithinPartitions(*keys, "place", *order)
 
 
 def by_item(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
