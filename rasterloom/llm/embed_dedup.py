@@ -71,7 +71,9 @@ class Quantiser:
         self.group = np.sort(group)
 
     def own(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([*(distances2(x[s], self.lists).argmin(axis=1) for s in steps(len(x), len(self.lists))), np.zeros(0, dtype=int)])
+        """The nearest list of each row, but for :data:`SLACK`."""
+        c, half, x = self.lists.astype(np.float32).T, (self.square / 2).astype(np.float32), x.astype(np.float32)
+        return np.concatenate([*((x[s] @ c - half).argmax(axis=1) for s in steps(len(x), len(self.lists))), np.zeros(0, dtype=int)])
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(codes, errors, angles to the own list's direction)."""
@@ -79,7 +81,7 @@ class Quantiser:
         codes, near = np.zeros((len(x), len(self.books)), dtype=np.uint8), np.zeros_like(rest)
         for s, book in enumerate(self.books):
             part = slice(self.cuts[s], self.cuts[s + 1])
-            codes[:, s] = distances2(rest[:, part], book).argmin(axis=1)
+            codes[:, s] = (rest[:, part].astype(np.float32) @ book.T.astype(np.float32) - ((book * book).sum(axis=1) / 2).astype(np.float32)).argmax(axis=1)
             near[:, part] = book[codes[:, s]]
         angle = np.arccos(np.clip((x * self.directions[own]).sum(axis=1), -1, 1))
         return codes, np.sqrt(((rest - near) ** 2).sum(axis=1)), angle
@@ -100,10 +102,10 @@ class Quantiser:
         out = np.zeros((len(lists), len(x)), dtype=bool)
         for s in steps(len(x), len(lists)):
             mine, at = np.unique(own[s], return_inverse=True)
-            h = (self.square[lists][:, None] - self.square[mine][None]) / 2
+            h = (self.square[lists][:, None] - self.square[mine][None]) / 2 - SLACK
             apart = distances2(c, self.lists[mine])
             need = cos * h - sin * np.sqrt(np.maximum(apart - h * h, 0)) - SLACK
-            need = np.where(h <= SLACK - cos * np.sqrt(apart), -np.inf, need).astype(np.float32)
+            need = np.where(h <= -cos * np.sqrt(apart), -np.inf, need).astype(np.float32)
             to = c32 @ x[s].T
             out[:, s] = (to >= low) & (to <= high)
             to -= (x[s] * self.lists[own[s]].astype(np.float32)).sum(axis=1)
